@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from . import bpe
 from .exact_dedup import exact_dedup
-from .quality_classifier import fit_quality, score_quality
 from .jaccard_join import jaccard_components
+from .quality_classifier import fit_quality, score_quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +30,18 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+def word_vocabulary() -> str:
+    """The vocabulary file of the queries, as text; its place is a parameter of the installed package, never a copy."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        return f.read()
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_table(spark, sf_dir, "documents"), word_vocabulary())
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -38,5 +51,5 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_jaccard_join, op7_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_jaccard_join, op5_bpe, op7_exact_dedup)}
 ORACLE_SQL = {"op7_exact_dedup": OP7_SQL}
