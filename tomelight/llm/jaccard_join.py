@@ -2,27 +2,28 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from . import golomb
 from .components import components
-from .store import attach, durable, restrict
+from .store import attach, durable, restrict, shards
 from .textkit import U64, chunks, lower, mix, ngram_hashes, prefix_sums, ragged, span_hash, word_hashes, words
 
-#: Counters of the frequency table that orders n-grams; 4 bytes each, whatever the corpus.
-COUNTERS = 1 << 20
-_SLABS = 64
-#: Bytes of n-gram sets that one task joins at a time, about.
-BLOCK_BYTES = 24 << 20
-#: Texts that one task joins at a time, at most about.
-BLOCK_TEXTS = 4000
+#: n-grams of one packet and of one owner in the exchange of their counts, about.
+PACKET = 128_000
+PER_OWNER = 4_000_000
+#: Bytes of n-gram sets, and texts, that one task joins at a time, about.
+BLOCK_BYTES = 8 << 20
+BLOCK_TEXTS = 100
 _FEW = U64(0x5D1C7A3B9E2F4861)
 
 
 def _sets(column, n: int):
-    """(first row, list of arrays): the distinct n-gram hashes of each text, unordered by frequency."""
+    """(first row, list of arrays): the sorted distinct n-gram hashes of each text."""
     for a, b, data, offsets in chunks(column):
         data = lower(data)
         starts, ends, first = words(data, offsets)
@@ -40,68 +41,120 @@ def _sets(column, n: int):
         yield a, out
 
 
-def _counts(n: int):
-    def counts(batches):
-        total = np.zeros(COUNTERS, np.uint32)
+def _signatures(n: int):
+    def signatures(batches):
         for batch in batches:
-            for _, sets in _sets(batch.column(0), n):
-                np.add(total, np.bincount((np.concatenate(sets) >> U64(44)).astype(np.int64), minlength=COUNTERS).astype(np.uint32), out=total)
-        part, step = TaskContext.get().partitionId(), COUNTERS // _SLABS
-        slabs = [total[k : k + step].astype(np.uint64).tobytes() for k in range(0, COUNTERS, step)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(_SLABS), pa.int32()), pa.array([part // 64] * _SLABS, pa.int32()), pa.array(slabs, pa.binary())], ["slab", "some", "n"])
-
-    return counts
+            size, lo, hi = [], [], []
+            for _, sets in _sets(batch.column(1), n):
+                for s in sets:
+                    size.append(len(s))
+                    lo.append(int(np.bitwise_xor.reduce(s)) if len(s) else 0)
+                    hi.append(int(mix(s ^ _FEW).sum()) if len(s) else 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(np.array(lo, U64).view(np.int64)), pa.array(np.array(hi, U64).view(np.int64))], ["id", "n", "lo", "hi"])
 
+    return signatures
 
-def _add(table: pa.Table) -> pa.Table:
-    total = np.sum([np.frombuffer(x.as_py(), np.uint64) for x in table.column("n")], axis=0, dtype=np.uint64)
-    return pa.table({"slab": table.column("slab")[:1], "some": pa.array([0], pa.int32()), "n": pa.array([total.tobytes()], pa.binary())})
 
+def _counted(grams: np.ndarray) -> np.ndarray:
+    """Whether n-grams stand in the half of the order that is counted; it comes first."""
+    return grams & U64(1) == U64(0)
 
-def frequency_levels(docs: DataFrame, n: int) -> np.ndarray:
-    """A level per counter: the logarithm of its count over the mean of all counters. One fixed-size table, counted over all texts."""
-    schema = "slab int, some int, n binary"
-    sums = docs.select("text").mapInArrow(_counts(n), schema).groupBy("slab", "some").applyInArrow(_add, schema)
-    rows = sums.groupBy("slab").applyInArrow(_add, schema).collect()  # 64 rows, 8 MB at any scale
-    total = np.zeros(COUNTERS, np.uint64)
-    for r in rows:
-        total[r.slab * (COUNTERS // _SLABS) :][: COUNTERS // _SLABS] = np.frombuffer(r.n, np.uint64)
-    return np.log2(1 + total / max(1.0, total.mean())).astype(np.uint8)
 
+def _packets(n: int, num: int, den: int):
+    """Rows of about PACKET n-grams: the counted ones of each set, and the least of the others where the prefix needs them."""
 
-def _keys(hashes: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """The n-grams in the global order, rare levels first: the level above 58 bits of the hash."""
-    return np.sort((levels[(hashes >> U64(44)).astype(np.int64)].astype(U64) << U64(58)) | (hashes >> U64(6)))
+    def packets(batches):
+        ids, sizes, lengths, grams, total = [], [], [], [], 0
 
+        def row():
+            name = int(mix(np.array([ids[0], ids[-1], len(ids), total], np.int64).view(U64)).sum()) & (2**63 - 1)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([name]), *(pa.array([x], pa.list_(pa.int64())) for x in (ids, sizes, lengths)), pa.array([np.concatenate(grams).tobytes()], pa.large_binary()).cast(pa.binary())],
+                ["packet", "ids", "sizes", "lengths", "grams"],
+            )
 
-def _prefixes(n: int, num: int, den: int, shared):
-    def prefixes(batches):
-        levels = shared.value
         for batch in batches:
-            size, lo, hi, prefix = [], [], [], []
-            for _, sets in _sets(batch.column(1), n):
-                for s in sets:
-                    m, keys = len(s), _keys(s, levels)
-                    size.append(m)
-                    lo.append(int(np.bitwise_xor.reduce(s)) if m else 0)
-                    hi.append(int(mix(s ^ _FEW).sum()) if m else 0)
-                    prefix.append(keys[: m - -(-num * m // den) + 1].view(np.int64))
-            flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
-            at = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(np.array(lo, U64).view(np.int64)), pa.array(np.array(hi, U64).view(np.int64)), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))],
-                ["id", "n", "lo", "hi", "prefix"],
-            )
+            names = batch.column(0).to_pylist()
+            for a, sets in _sets(batch.column(1), n):
+                for k, s in enumerate(sets):
+                    m, own = len(s), _counted(s)
+                    more = s[~own][: max(0, m - -(-num * m // den) + 1 - int(own.sum()))]
+                    ids.append(names[a + k])
+                    sizes.append(m)
+                    grams.append(np.concatenate([s[own], more]))
+                    lengths.append(len(grams[-1]))
+                    total += lengths[-1]
+                    if total >= PACKET:
+                        yield row()
+                        ids, sizes, lengths, grams, total = [], [], [], [], 0
+        if ids:
+            yield row()
+
+    return packets
+
+
+def _values(grams: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct counted n-grams of a packet, cut to their first bits, and how many of its sets hold each."""
+    g = np.frombuffer(grams, U64)
+    return np.unique(g[_counted(g)] >> U64(64 - bits), return_counts=True)
+
+
+def _send(bits: int, owners: int):
+    def send(batches):
+        for batch in batches:
+            for packet, grams in zip(batch.column("packet").to_pylist(), batch.column("grams"), strict=True):
+                values, counts = _values(grams.as_py(), bits)
+                to = ((values >> U64(bits - 24)) * U64(owners) >> U64(24)).astype(np.int64)
+                cuts = [0, *(np.flatnonzero(np.diff(to)) + 1).tolist(), len(values)] if len(values) else [0]
+                spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+                sent = [golomb.encode(values[a:b]) for a, b in spans]
+                often = [zlib.compress(counts[a:b].astype(np.uint32).tobytes(), 1) for a, b in spans]
+                yield pa.RecordBatch.from_arrays([pa.array([int(to[a]) for a, _ in spans], pa.int32()), pa.array([packet] * len(spans), pa.int64()), pa.array(sent, pa.binary()), pa.array(often, pa.binary())], ["owner", "packet", "sent", "often"])
+
+    return send
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """Of each list, the level of its values: 0 for those that one set holds, else by the logarithm of their number."""
+    sent = [golomb.decode(x.as_py()) for x in table.column("sent")]
+    often = np.concatenate([np.frombuffer(zlib.decompress(x.as_py()), np.uint32) for x in table.column("often")])
+    _, at = np.unique(np.concatenate(sent), return_inverse=True)
+    levels = np.minimum(255, np.ceil(4 * np.log2(np.bincount(at, weights=often)))).astype(np.uint8)[at]
+    cuts = np.cumsum([0, *map(len, sent)])
+    packed = [zlib.compress(levels[a:b].tobytes(), 1) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pa.table({"packet": table.column("packet"), "owner": table.column("owner"), "levels": pa.array(packed, pa.binary())})
+
+
+def _prefixes(num: int, den: int, bits: int):
+    def prefixes(packets: pa.Table, answers: pa.Table) -> pa.Table:
+        answers = sorted(zip(answers.column("owner").to_pylist(), answers.column("levels").to_pylist(), strict=True))
+        levels = np.frombuffer(b"".join(zlib.decompress(x) for _, x in answers), np.uint8)
+        ids, sizes, grams = [], [], [np.zeros(0, U64)]
+        for k in range(packets.num_rows):
+            values, _ = _values(packets.column("grams")[k].as_py(), bits)
+            all_grams, at = np.frombuffer(packets.column("grams")[k].as_py(), U64), 0
+            for name, m, length in zip(*(packets.column(c)[k].as_py() for c in ("ids", "sizes", "lengths")), strict=True):
+                g = all_grams[at : at + length]
+                at += length
+                own = _counted(g)
+                level = np.full(length, 256, np.int64)  # not counted: after all the others
+                level[own] = levels[np.searchsorted(values, g[own] >> U64(64 - bits))]
+                first = np.lexsort((g, level))[: m - -(-num * m // den) + 1]
+                first = first[level[first] > 0]  # an n-gram of one set joins it with nothing
+                grams.append(g[first])
+                ids += [name] * len(first)
+                sizes += [m] * len(first)
+        return pa.table({"gram": np.concatenate(grams).view(np.int64), "id": pa.array(ids, pa.int64()), "n": pa.array(sizes, pa.int64())})
 
     return prefixes
 
 
-def _packed(n: int, shared):
+def _packed(n: int):
     def packed(batches):
-        levels = shared.value
+        kept = ("id", "block", "label", "subs", "role", "turns", "everywhere")
         for batch in batches:
-            sets = [_keys(s, levels).tobytes() for _, some in _sets(batch.column("text"), n) for s in some]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "block", "label", "subs", "role", "turns")), pa.array(sets, pa.binary())], ["id", "block", "label", "subs", "role", "turns", "grams"])
+            sets = [s.tobytes() for _, some in _sets(batch.column("text"), n) for s in some]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sets, pa.binary())], [*kept, "grams"])
 
     return packed
 
@@ -184,38 +237,52 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     A text's set has its distinct n-word shingles (A-Z lower-cased, words split at ASCII white space);
     with fewer words, the whole sequence is the one shingle. Two texts link when den * |intersection| >=
     num * |union|. Null and empty texts have an empty set and link with nothing: their component is their
-    own id. Repeated rows each come back; a null id takes its copies' component (null if it has none).
+    own id. Repeated rows each come back, and rows
+    that share an id count as one document for links; a null id takes its copies' component (null if it has none).
     An empty table gives an empty result; other columns are not looked at. Ids are integers. Sets are of
-    64-bit hashes, so two different shingles of one pair of texts count as one with probability 2**-58.
-
-    Equal sets are one class first. The rarest n-grams of each class (its prefix; rare by a table of fixed
-    size that all texts are counted into) route it: classes that share one fall in one block, found by
-    linking each to the least class with that n-gram, never by pairs. A block of usual size is joined in a
-    prefix tree by one task. A larger one is dealt to parts, its least class to each; then the classes
-    outside the block's largest component, and only those, are compared with every part.
+    64-bit hashes, so two different shingles count as one with probability 2**-64 a pair.
+
+    Equal sets are one class first. The n-grams of all classes have one order: those of a half that is
+    counted exactly over the whole corpus (an exchange of Golomb-coded fingerprints) by their number, rarest
+    first, then the others. Sets that link share one of the first n-grams of each (its prefix) and have like
+    sizes, so classes that share neither are never compared, and n-grams of a single class route nothing.
+    Classes that do are linked to the least class with that n-gram and size, never in pairs, and what is
+    linked is a block. A block of usual size is joined in a prefix tree by one task. A larger one is dealt to
+    parts, the classes that many others were linked to going to all of them; then the classes outside the
+    block's largest component, and only those, are compared with every part.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(frequency_levels(docs, n))  # 1 MB at any scale
-    table = durable(docs.mapInArrow(_prefixes(n, num, den, shared), "id long, n long, lo long, hi long, prefix array<long>"), "sets")
-    classes = durable(table.where("n > 0").groupBy("n", "lo", "hi").agg(F.min("id").alias("rep")), "classes")
-    reps = restrict(table, durable(classes.select(F.col("rep").alias("id")), "reps"), "id").where("id is not null")
-    routes = reps.select("id", F.explode("prefix").alias("gram"))
-    hubs = routes.groupBy("gram").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top").select("gram", "hub")
-    candidates = routes.join(durable(hubs, "hubs"), "gram").where("id <> hub").select("id", "hub").distinct()
+    table = durable(docs.mapInArrow(_signatures(n), "id long, n long, lo long, hi long"), "signatures")
+    classes = durable(table.where("n > 0").groupBy("n", "lo", "hi").agg(F.min("id").alias("rep")).where("rep is not null"), "classes")
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bits, owners = min(64, max(32, int(total).bit_length() + 8)), shards(spark, total / 2, PER_OWNER)
+    reps = restrict(docs, classes.select(F.col("rep").alias("id")), "id")
+    packets = durable(reps.mapInArrow(_packets(n, num, den), "packet long, ids array<long>, sizes array<long>, lengths array<long>, grams binary"), "packets")
+    sent = packets.select("packet", "grams").mapInArrow(_send(bits, owners), "owner int, packet long, sent binary, often binary")
+    levels = sent.groupBy("owner").applyInArrow(_answer, "packet long, owner int, levels binary")
+    routes = packets.groupBy("packet").cogroup(levels.groupBy("packet")).applyInArrow(_prefixes(num, den, bits), "gram long, id long, n long")
+    routes = durable(routes.withColumn("size", F.floor(F.log("n") / np.log(den / num)).cast("int")), "routes")  # sizes of links are equal or neighbours
+
+    hubs = routes.groupBy("gram", "size").agg(F.min("id").alias("hub"), F.max("id").alias("top"))
+    below = hubs.select("gram", (F.col("size") + 1).alias("size"), F.col("hub").alias("id"))
+    stars = routes.join(hubs.where("hub < top").select("gram", "size", "hub"), ["gram", "size"]).where("id <> hub").select("id", "hub")
+    candidates = durable(stars.union(hubs.join(below, ["gram", "size"]).where("id <> hub").select("id", "hub")).distinct(), "candidates")
     blocks = durable(components(candidates).toDF("id", "block"), "blocks")
-    weighed = blocks.join(reps.groupBy("id").agg(F.max("n").alias("n")), "id")
-    subs = F.ceil(F.greatest(F.sum("n") * 8 / BLOCK_BYTES, F.count("*") / BLOCK_TEXTS)).cast("int")
-    members = durable(blocks.join(weighed.groupBy("block").agg(subs.alias("subs")), "block").select("id", "block", "subs"), "members")
+    sizes = classes.select(F.col("rep").alias("id"), "n")
+    weighed = blocks.join(sizes, "id").groupBy("block").agg(F.ceil(F.greatest(F.sum("n") * 8 / BLOCK_BYTES, F.count("*") / BLOCK_TEXTS)).cast("int").alias("subs"))
+    often = candidates.groupBy("hub").count().where(f"count >= {BLOCK_TEXTS}").selectExpr("hub as id", "true as everywhere")
+    members = blocks.join(weighed, "block").join(often, "id", "left").select("id", "block", "subs", (F.col("everywhere").isNotNull() | (F.col("id") == F.col("block"))).alias("everywhere"))
+    members = durable(members, "members")
+    own = "array(cast(pmod(xxhash64(id), subs) as int))"
 
     def linked(rows: DataFrame, sub: str, turn: str) -> DataFrame:
-        sets = attach(docs, rows, "id").mapInArrow(_packed(n, shared), "id long, block long, label long, subs int, role int, turns int, grams binary")
+        sets = attach(reps, rows, "id").mapInArrow(_packed(n), "id long, block long, label long, subs int, role int, turns int, everywhere boolean, grams binary")
         sets = sets.selectExpr("*", f"{sub} as sub").selectExpr("*", f"{turn} as turn")
         return sets.groupBy("block", "sub", "turn").applyInArrow(_join(num, den), "a long, b long")
 
-    alone = members.selectExpr("id", "block", "id as label", "subs", "0 as role", "1 as turns")
-    own = "cast(pmod(xxhash64(id), subs) as int)"
-    links = durable(linked(alone, f"explode(if(id = block, sequence(0, subs - 1), array({own})))", "0"), "links")
+    alone = members.selectExpr("id", "block", "id as label", "subs", "0 as role", "1 as turns", "everywhere")
+    links = durable(linked(alone, f"explode(if(everywhere, sequence(0, subs - 1), {own}))", "0"), "links")
     found = components(links)
     split = members.where("subs > 1")
     if not split.isEmpty():
@@ -224,9 +291,9 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
         rest = durable(split.join(largest, "block").where("label <> top").select("id", "block", "subs", "label"), "rest")
         turns = rest.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_TEXTS).cast("int").alias("turns"))
         both = split.selectExpr("*", "0 as role").unionByName(rest.selectExpr("*", "1 as role")).join(turns, "block")
-        both = durable(both.select("id", "block", "label", "subs", "role", "turns"), "both")
-        more = linked(both, f"explode(if(role = 1, sequence(0, subs - 1), array({own})))", "explode(if(role = 1, array(cast(pmod(xxhash64(id, 1), turns) as int)), sequence(0, turns - 1)))")
+        both = durable(both.select("id", "block", "label", "subs", "role", "turns", F.lit(False).alias("everywhere")), "both")
+        more = linked(both, f"explode(if(role = 1, sequence(0, subs - 1), {own}))", "explode(if(role = 1, array(cast(pmod(xxhash64(id, 1), turns) as int)), sequence(0, turns - 1)))")
         found = components(durable(links.union(more), "links"))
     heads = classes.join(found, classes.rep == found.node, "left").select("n", "lo", "hi", F.coalesce("component", "rep").alias("component_id"))
-    out = table.drop("prefix").join(heads, ["n", "lo", "hi"], "left")
+    out = table.join(heads, ["n", "lo", "hi"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
