@@ -8,6 +8,8 @@ from . import bpe
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
 from .quality_classifier import fit_quality, score_quality
+from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,14 +44,22 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), word_vocabulary())
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_table(spark, sf_dir, "documents"), with_text=False)
+
+
 OP7_SQL = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_jaccard_join, op5_bpe, op7_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_jaccard_join, op5_bpe, op6_substring_dedup, op7_exact_dedup, op10_suffix_dedup)}
 ORACLE_SQL = {"op7_exact_dedup": OP7_SQL}
