@@ -19,6 +19,8 @@ from .textkit import as_binary
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Words that a task keeps the ids of, at most; then it begins anew.
 KEPT = 300_000
+_CUT = regex.compile(f"[{_WHITE}]+")
+_RARE = regex.compile("[\x0b\x0c\x1c-\x1f]")  # white space to str.split or to the normaliser, not to both
 
 
 def byte_names() -> list[str]:
@@ -189,20 +191,29 @@ class Encoder:
     def __init__(self, spec: str, view, by_library: bool = False):
         self.vocabulary, self.view, self.by_library, self.known = _vocabulary(spec), view, by_library, {}
 
+    def chunks(self, text: str) -> list[str]:
+        """The text cut at white space, which no pre-token crosses."""
+        if text.isascii() and not _RARE.search(text):
+            return text.split()
+        return [x for x in _CUT.split(text) if x]
+
     def batch(self, texts: list[str]) -> list[list]:
-        """Of each text, the view of its words in order."""
+        """Of each text, the view of its stretches between white space, in order."""
         v = self.vocabulary
         if len(self.known) > KEPT:
             self.known = {}
         known = self.known
-        rows = [v.words(t) for t in texts]
+        rows = [self.chunks(t) for t in texts]
         new: set[str] = set()
         for r in rows:
             new.update(r)
         fresh = list(new - known.keys())
-        for w, ids in zip(fresh, map(v.library_word, fresh) if self.by_library else v.encode_words(fresh), strict=True):
-            known[w] = self.view(ids, v)
-        return [[known[w] for w in r] for r in rows]
+        cut = [v.words(c) for c in fresh]
+        distinct = list({w for ws in cut for w in ws})
+        ids = dict(zip(distinct, map(v.library_word, distinct) if self.by_library else v.encode_words(distinct), strict=True))
+        for c, ws in zip(fresh, cut, strict=True):
+            known[c] = self.view(ids[ws[0]] if len(ws) == 1 else [i for w in ws for i in ids[w]], v)
+        return [[known[c] for c in r] for r in rows]
 
 
 def groups(column, limit: int = 24 << 20):

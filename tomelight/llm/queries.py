@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import bpe
+from .decontaminate import find_items
 from .exact_dedup import exact_dedup
+from .html_extract import extract_text
 from .jaccard_join import jaccard_components
 from .quality_classifier import fit_quality, score_quality
+from .secret_scan import find_secrets, fit_secrets
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
+from .token_files import token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +36,15 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def word_vocabulary() -> str:
     """The vocabulary file of the queries, as text; its place is a parameter of the installed package, never a copy."""
     import public_tokenizers
@@ -52,6 +65,15 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return find_secrets(docs, fit_secrets(docs))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store(_table(spark, sf_dir, "documents"), word_vocabulary(), end_id=1).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_table(spark, sf_dir, "documents"), with_text=False)
 
@@ -61,5 +83,5 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_jaccard_join, op5_bpe, op6_substring_dedup, op7_exact_dedup, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_jaccard_join, op3_html_extraction, op4_decontamination, op5_bpe, op6_substring_dedup, op7_exact_dedup, op8_secret_scan, op9_token_files, op10_suffix_dedup)}
 ORACLE_SQL = {"op7_exact_dedup": OP7_SQL}
