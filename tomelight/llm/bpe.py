@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
+import struct
 import unicodedata
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +20,9 @@ from .textkit import as_binary
 
 #: White space of the normaliser: Unicode's White_Space.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Words that a task keeps the ids of, at most; then it begins anew.
-KEPT = 300_000
+#: Stretches, and words, that a process keeps the ids of, twice: the latest, and those before.
+KEPT = 150_000
 _CUT = regex.compile(f"[{_WHITE}]+")
-_RARE = regex.compile("[\x0b\x0c\x1c-\x1f]")  # white space to str.split or to the normaliser, not to both
 
 
 def byte_names() -> list[str]:
@@ -37,6 +39,7 @@ class Vocabulary:
     """A vocabulary file: BPE with an end-of-word suffix, byte-level, over NFC, lower-cased text."""
 
     def __init__(self, spec: str):
+        self.kept: dict[bool, tuple[Kept, Kept]] = {}
         self.library = Tokenizer.from_str(spec)  # for characters that our tables do not have yet
         spec = json.loads(spec)
         model = spec["model"]
@@ -70,6 +73,14 @@ class Vocabulary:
             at = m.end()
         return out + self.plain(text[at:])
 
+    def stretch(self, text: str) -> list[str]:
+        """The pre-tokens of a text without white space; most are one run of letters, maybe with a sign."""
+        last = text[-1:] if text[-1:] in ".,;:!?" else ""
+        word = text[: len(text) - len(last)]
+        if word.isalpha() and "Σ" not in word and (word.isascii() or unicodedata.is_normalized("NFC", word)) and (low := word.lower()).isalpha():
+            return [low, last] if last else [low]
+        return self.words(text)
+
     def plain(self, text: str) -> list[str]:
         if text.isascii():
             return self.pattern.findall(text.lower())
@@ -167,7 +178,7 @@ class Vocabulary:
         """The ids of a pre-token or special token by the library's own model."""
         if word in self.special:
             return [self.special[word]]
-        return [t.id for t in self.library.model.tokenize("".join([self.byte_names[b] for b in word.encode()]))]
+        return [t.id for t in self.library.model.tokenize(word if word.isalnum() and word.isascii() else word.encode().decode("latin-1").translate(self.byte_names))]
 
     def decode(self, ids: list[int]) -> str:
         """Token strings joined by spaces, as the library does for a file without a decoder; ids outside the vocabulary are left out."""
@@ -185,38 +196,72 @@ def _vocabulary(spec: str) -> Vocabulary:
     return _vocabularies[key]
 
 
+class Kept:
+    """What has been found for strings: the latest KEPT or so, and as many before, which move up when asked for again."""
+
+    def __init__(self):
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, strings: list[str]) -> list[str]:
+        if len(self.new) > KEPT:
+            self.new, self.old = {}, self.new
+        out = []
+        for x in strings:
+            if x not in self.new:
+                if x in self.old:
+                    self.new[x] = self.old[x]
+                else:
+                    out.append(x)
+        return out
+
+
 class Encoder:
-    """Encodes batches of texts; what it finds for a word serves all later texts of the task."""
+    """Encodes batches of texts to packed token ids; what it finds for a word serves all later texts of the process."""
 
-    def __init__(self, spec: str, view, by_library: bool = False):
-        self.vocabulary, self.view, self.by_library, self.known = _vocabulary(spec), view, by_library, {}
+    def __init__(self, spec: str, by_library: bool = False):
+        self.vocabulary, self.by_library = _vocabulary(spec), by_library
+        self.kind = "H" if max(self.vocabulary.names) < 1 << 16 else "I"
+        self.stretches, self.words = self.vocabulary.kept.setdefault(by_library, (Kept(), Kept()))
 
     def chunks(self, text: str) -> list[str]:
         """The text cut at white space, which no pre-token crosses."""
-        if text.isascii() and not _RARE.search(text):
-            return text.split()
-        return [x for x in _CUT.split(text) if x]
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to str.split, not to the normaliser
+            return [x for x in _CUT.split(text) if x]
+        return text.split()
 
-    def batch(self, texts: list[str]) -> list[list]:
-        """Of each text, the view of its stretches between white space, in order."""
+    def ids(self, stretches: list[str]) -> list[bytes]:
+        """The packed ids of distinct stretches without white space."""
         v = self.vocabulary
-        if len(self.known) > KEPT:
-            self.known = {}
-        known = self.known
-        rows = [self.chunks(t) for t in texts]
-        new: set[str] = set()
-        for r in rows:
-            new.update(r)
-        fresh = list(new - known.keys())
-        cut = [v.words(c) for c in fresh]
-        distinct = list({w for ws in cut for w in ws})
-        ids = dict(zip(distinct, map(v.library_word, distinct) if self.by_library else v.encode_words(distinct), strict=True))
+        fresh = self.stretches.missing(stretches)
+        cut = [v.stretch(c) for c in fresh]
+        words = self.words.missing(list({w for ws in cut for w in ws}))
+        for w, ids in zip(words, map(v.library_word, words) if self.by_library else v.encode_words(words), strict=True):
+            self.words.new[w] = struct.pack(f"<{len(ids)}{self.kind}", *ids)
+        known, of = self.stretches.new, self.words.new
         for c, ws in zip(fresh, cut, strict=True):
-            known[c] = self.view(ids[ws[0]] if len(ws) == 1 else [i for w in ws for i in ids[w]], v)
-        return [[known[c] for c in r] for r in rows]
-
-
-def groups(column, limit: int = 24 << 20):
+            known[c] = of[ws[0]] if len(ws) == 1 else b"".join([of[w] for w in ws])
+        return [known[c] for c in stretches]
+
+    def batch(self, texts: list[str], view=None) -> list[list]:
+        """Of each text, the packed ids of its stretches between white space in order, or the view of each."""
+        collecting = gc.isenabled()
+        gc.disable()  # millions of strings and no cycles
+        try:
+            rows = [self.chunks(t) for t in texts]
+            coded = pa.array(list(chain.from_iterable(rows)), pa.large_string()).dictionary_encode()
+            views = self.ids(coded.dictionary.to_pylist())
+            if view:
+                views = [view(x) for x in views]
+            found = [views[k] for k in coded.indices.to_numpy().tolist()]
+            cuts = [0, *accumulate(map(len, rows))]
+            return [found[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        finally:
+            if collecting:
+                gc.enable()
+
+
+def groups(column, limit: int = 4 << 20):
     """The texts of an Arrow column, null as empty, in runs of about `limit` bytes."""
     run, size = [], 0
     for t in as_binary(column):
@@ -240,9 +285,9 @@ def encode(docs: DataFrame, spec: str, text_col: str = "text", ids_col: str = "i
     shared, at, names = _shared(docs, spec), docs.columns.index(text_col), docs.columns
 
     def run(batches):
-        encoder = Encoder(shared.value, lambda ids, _: ids)
+        encoder = Encoder(shared.value)
         for batch in batches:
-            ids = [[i for c in row for i in c] for run in groups(batch.column(at)) for row in encoder.batch(run)]
+            ids = [np.frombuffer(b"".join(row), f"<u{struct.calcsize(encoder.kind)}").tolist() for run in groups(batch.column(at)) for row in encoder.batch(run)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*names, ids_col])
 
     return docs.mapInArrow(run, _with(docs, ids_col, "array<int>"))
@@ -277,12 +322,17 @@ def digests(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        encoder = Encoder(shared.value, lambda ids, v: (len(ids), " ".join(map(str, ids)), v.decode(ids)))
-        sha = hashlib.sha256
+        encoder, sha = Encoder(shared.value), hashlib.sha256
+        size = struct.calcsize(encoder.kind)
+
+        def view(packed: bytes):
+            ids = struct.unpack(f"<{len(packed) // size}{encoder.kind}", packed)
+            return len(ids), " ".join(map(str, ids)), encoder.vocabulary.decode(ids)
+
         for batch in batches:
             n, ids, text = [], [], []
             for some in groups(batch.column(1)):
-                for row in encoder.batch(some):
+                for row in encoder.batch(some, view):
                     n.append(sum(x[0] for x in row))
                     ids.append(sha(" ".join([x[1] for x in row]).encode()).hexdigest())
                     text.append(sha(" ".join([x[2] for x in row]).encode()).hexdigest())
