@@ -59,14 +59,12 @@ def write_tokens(docs: DataFrame, spec: str, end_id: int, path: str, id_col: str
     shared = docs.sparkSession.sparkContext.broadcast(spec)  # the vocabulary file: a few MB, whatever the corpus
 
     def run(batches):
-        width, kind, encoder = None, None, None
+        encoder = Encoder(shared.value, by_library=True)
+        width = struct.calcsize(encoder.kind)
+        end = end_id.to_bytes(width, "little")
         for batch in batches:
-            if encoder is None:
-                encoder = Encoder(shared.value, lambda ids, v: struct.pack(f"<{len(ids)}{kind}", *ids), by_library=True)
-                width = 2 if max(end_id, *encoder.vocabulary.names) < 1 << 16 else 4
-                kind, end = "HI"[width // 4], end_id.to_bytes(width, "little")
             at, names = 0, batch.column(0).to_pylist()
-            for some in groups(batch.column(1), 4 << 20):
+            for some in groups(batch.column(1)):
                 rows = encoder.batch(some)
                 out = [frame(i, b"".join(row) + end, width)[:-1] for i, row in zip(names[at : at + len(some)], rows, strict=True)]
                 at += len(some)
@@ -90,7 +88,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
                 columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), *columns], ["file", "offset", "id", "before", "n_tokens", "ids_crc32", "ids"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content").repartition(F.col("path"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     return files.mapInArrow(run, "file string, offset long, id long, before long, n_tokens long, ids_crc32 long, ids array<long>")
 
 
