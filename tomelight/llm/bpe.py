@@ -197,14 +197,15 @@ def _vocabulary(spec: str) -> Vocabulary:
 
 
 class Kept:
-    """What has been found for strings: the latest KEPT or so, and as many before, which move up when asked for again."""
+    """What has been found for strings: the latest ones, about `most`, and as many before, which move up when asked for again."""
 
-    def __init__(self):
+    def __init__(self, most: int):
+        self.most = most
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def missing(self, strings: list[str]) -> list[str]:
-        if len(self.new) > KEPT:
+        if len(self.new) > self.most:
             self.new, self.old = {}, self.new
         out = []
         for x in strings:
@@ -219,10 +220,15 @@ class Kept:
 class Encoder:
     """Encodes batches of texts to packed token ids; what it finds for a word serves all later texts of the process."""
 
-    def __init__(self, spec: str, by_library: bool = False):
+    def __init__(self, spec: str, by_library: bool = False, kept: int = KEPT):
         self.vocabulary, self.by_library = _vocabulary(spec), by_library
         self.kind = "H" if max(self.vocabulary.names) < 1 << 16 else "I"
-        self.stretches, self.words = self.vocabulary.kept.setdefault(by_library, (Kept(), Kept()))
+        self.stretches, self.words = self.vocabulary.kept.setdefault(by_library, (Kept(kept), Kept(kept)))
+
+    def forget(self) -> None:
+        """Give back what was kept, for the stages that come after in the same process."""
+        self.vocabulary.kept.clear()
+        pa.default_memory_pool().release_unused()
 
     def chunks(self, text: str) -> list[str]:
         """The text cut at white space, which no pre-token crosses."""
@@ -322,7 +328,7 @@ def digests(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        encoder, sha = Encoder(shared.value), hashlib.sha256
+        encoder, sha = Encoder(shared.value, kept=KEPT // 3), hashlib.sha256
         size = struct.calcsize(encoder.kind)
 
         def view(packed: bytes):
@@ -337,5 +343,6 @@ def digests(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str =
                     ids.append(sha(" ".join([x[1] for x in row]).encode()).hexdigest())
                     text.append(sha(" ".join([x[2] for x in row]).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+        encoder.forget()
 
     return docs.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
