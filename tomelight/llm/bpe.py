@@ -328,7 +328,7 @@ def digests(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        encoder, sha = Encoder(shared.value, kept=KEPT // 3), hashlib.sha256
+        encoder, sha = Encoder(shared.value, kept=KEPT // 6), hashlib.sha256
         size = struct.calcsize(encoder.kind)
 
         def view(packed: bytes):
