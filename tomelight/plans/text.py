@@ -69,7 +69,7 @@ def q_in_id_order(t: Tables) -> DataFrame:
     return t.part.join(F.broadcast(ids), "p_partkey").select("p_partkey", "place").orderBy("place")
 
 
-@query("SELECT event_id, CASE WHEN w IS NOT NULL THEN least(w, 2147483647) END AS waited FROM (SELECT event_id, epoch_ms(ts) - lag(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS w FROM events)")
+@query("SELECT event_id, CASE WHEN w IS NOT NULL THEN least(w, 2147483647) END AS waited FROM (SELECT event_id, epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS w FROM events)")
 def q_waits(t: Tables) -> DataFrame:
     clock = F.unix_millis(F.col("ts").cast("timestamp"))
     gap = clock - F.lag(clock).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
