@@ -8,6 +8,7 @@ import heapq
 import json
 import struct
 import unicodedata
+from functools import cached_property
 from itertools import accumulate, chain
 
 import numpy as np
@@ -40,7 +41,7 @@ class Vocabulary:
 
     def __init__(self, spec: str):
         self.kept: dict[bool, tuple[Kept, Kept]] = {}
-        self.library = Tokenizer.from_str(spec)  # for characters that our tables do not have yet
+        self.file = spec
         spec = json.loads(spec)
         model = spec["model"]
         self.ids: dict[str, int] = model["vocab"]
@@ -63,6 +64,11 @@ class Vocabulary:
         self.inner = np.array([self.ids[n] for n in names], np.int32)
         self.last = np.array([self.ids[n + self.suffix] for n in names], np.int32)
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        """The library's own tokenizer, for characters that our tables do not have yet; most processes never need its tables."""
+        return Tokenizer.from_str(self.file)
+
     def words(self, text: str) -> list[str]:
         """The pre-tokens of a whole text; a special token in it is an entry of its own."""
         if "<|" not in text and not (self.odd and self.cut.search(text)):
@@ -337,7 +343,7 @@ def digests(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str =
 
         for batch in batches:
             n, ids, text = [], [], []
-            for some in groups(batch.column(1)):
+            for some in groups(batch.column(1), 1 << 20):  # small runs: each stretch has two strings here
                 for row in encoder.batch(some, view):
                     n.append(sum(x[0] for x in row))
                     ids.append(sha(" ".join([x[1] for x in row]).encode()).hexdigest())
