@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 
@@ -67,3 +69,27 @@ def backoff_seconds(base: float, attempt: Column, cap: int = 6) -> Column:
 def agreement_confidence(agreement: Column, witnesses: Column) -> Column:
     """Agreement weighted by the number of independent witnesses: 0.6 for one, 0.85 for two, 1 for more."""
     return agreement * F.when(witnesses <= 1, 0.6).when(witnesses == 2, 0.85).otherwise(1.0)
+
+
+def _valid(pattern: str) -> bool:
+    try:
+        re.compile(pattern)
+    except re.error:
+        return False
+    return True
+
+
+def first_block(x: Column, titles: list[str], patterns: list[str]) -> Column:
+    """'title' if x is one of the titles in any case, else the first pattern found in it in lower case; null if none is. Invalid patterns are skipped."""
+    low = F.lower(x)
+    return F.coalesce(F.when(low.isin(*(t.lower() for t in titles)), "title"), *(F.when(low.rlike(p), F.lit(p)) for p in patterns if _valid(p)))
+
+
+def term_ratio(x: Column, terms: list[str]) -> Column:
+    """The share of the terms that x contains in any case."""
+    return sum((F.contains(F.lower(x), F.lit(t.lower())).cast("int") for t in terms), F.lit(0)) / len(terms)
+
+
+def safe_url(x: Column) -> Column:
+    """Whether a URL is http or https with a host; script, data and file schemes and // are not."""
+    return F.lower(F.trim(x)).rlike(r"^https?://[^/]")

@@ -41,3 +41,14 @@ def upsert_add(target: DataFrame, new: DataFrame, keys: list[str], sums: list[st
 def zero_filled(counts: DataFrame, names: DataFrame, key: str, value: str) -> DataFrame:
     """A row for every name, 0 where counts has none."""
     return names.join(counts, key, "left").select(key, F.coalesce(value, F.lit(0)).cast("long").alias(value))
+
+
+def match_cascade(wanted: DataFrame, known: DataFrame, clauses: list[list[str]], target: str, clause: str) -> DataFrame:
+    """wanted with the least target of the first clause (columns that must be equal) that finds any, and that clause's number; null if none does.
+
+    One left join a clause, against one row for each key, so rows never multiply."""
+    for k, on in enumerate(clauses):
+        wanted = wanted.join(known.groupBy(*on).agg(F.min(target).alias(f"__{k}")), on, "left")
+    found = [F.col(f"__{k}") for k in range(len(clauses))]
+    number = F.coalesce(*(F.when(c.isNotNull(), k) for k, c in enumerate(found)))
+    return wanted.withColumns({target: F.coalesce(*found), clause: number}).drop(*(f"__{k}" for k in range(len(clauses))))
