@@ -17,6 +17,9 @@ QUALITY = 0.3
 #: Words of a shingle, and the least similarity of near copies in percent.
 SHINGLE, SIMILAR = 5, 80
 
+#: Bytes of a run of texts in the token stage, whose processes still hold memory of the stages before.
+RUN = 1 << 20
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality score of QUALITY or more; the labels of the held-out fold teach nothing."""
@@ -44,7 +47,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document its number of tokens, and digests of its token ids and of the text that they decode to."""
-    return bpe.digests(docs, word_vocabulary())
+    return bpe.digests(docs, word_vocabulary(), run=RUN)
 
 
 STAGES = [("quality", quality), ("exact dedup", exact), ("near copies", near), ("benchmark", benchmark), ("tokens", tokens)]

@@ -323,17 +323,18 @@ def _with(df: DataFrame, name: str, kind: str):
     return df.select("*", F.lit(None).cast(kind).alias(name)).schema
 
 
-def digests(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text", run: int = 4 << 20) -> DataFrame:
     """One row per document: id, n_tokens, ids_sha256 (decimal ids joined by spaces), decoded_sha256.
 
     Encodes and decodes each whole text in one pass and keeps neither; null counts as empty. Repeated rows
-    and null ids come back as they are; an empty table gives an empty result.
+    and null ids come back as they are; an empty table gives an empty result. Texts are taken in runs of about
+    `run` bytes: smaller runs hold less memory and format more often what they share.
     """
     docs = docs.select(F.col(id_col), F.col(text_col))
     shared = _shared(docs, spec)
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches):
+    def encoded(batches):
         encoder, sha = Encoder(shared.value, kept=KEPT // 6), hashlib.sha256
         size = struct.calcsize(encoder.kind)
 
@@ -343,7 +344,7 @@ def digests(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str =
 
         for batch in batches:
             n, ids, text = [], [], []
-            for some in groups(batch.column(1), 1 << 20):  # small runs: each stretch has two strings here
+            for some in groups(batch.column(1), run):
                 for row in encoder.batch(some, view):
                     n.append(sum(x[0] for x in row))
                     ids.append(sha(" ".join([x[1] for x in row]).encode()).hexdigest())
@@ -351,4 +352,4 @@ def digests(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
         encoder.forget()
 
-    return docs.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.mapInArrow(encoded, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
