@@ -210,3 +210,84 @@ def q_stale_recovery(t: Tables) -> DataFrame:
     attempts = F.col("user_id") % 4
     due = F.col("ts") + F.make_dt_interval(secs=C.backoff_seconds(30.0, attempts + 1).cast("decimal(18,6)"))
     return t.events.where("event_type = 'error'").select("event_id", F.when(attempts >= 3, "FAILED").otherwise("RETRY").alias("status"), F.when(attempts < 3, due).alias("due"))
+
+
+@query("SELECT DISTINCT ON (l_partkey) l_partkey, l_orderkey, l_linenumber FROM lineitem ORDER BY l_partkey, l_shipdate, l_orderkey, l_linenumber")
+def q_distinct_on(t: Tables) -> DataFrame:
+    """The first row of each key, as one aggregate of structs: no sort."""
+    first = F.min(F.struct("l_shipdate", "l_orderkey", "l_linenumber"))
+    return t.lineitem.groupBy("l_partkey").agg(first.alias("x")).select("l_partkey", "x.l_orderkey", "x.l_linenumber")
+
+
+@query("SELECT o_custkey AS k FROM orders EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 300000 EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 480000")
+def q_except_chain(t: Tables) -> DataFrame:
+    """Keys of the first set that neither other holds, from one pass over the table."""
+    groups = t.orders.groupBy(F.col("o_custkey").alias("k")).agg(F.bool_or(F.expr("(o_orderstatus = 'P' and o_totalprice > 300000) or o_totalprice > 480000")).alias("out"))
+    return groups.where("not coalesce(out, false)").select("k")
+
+
+@query("SELECT l_orderkey, l_linenumber, arg_min(l_returnflag, l_suppkey) FILTER (l_returnflag <> 'N') AS flag, min(l_suppkey) FILTER (l_tax > 0.02) AS supplier FROM (SELECT l_orderkey, l_linenumber, l_suppkey, min(l_returnflag) FILTER (l_returnflag <> 'N') AS l_returnflag, max(l_tax) AS l_tax FROM lineitem GROUP BY 1, 2, 3) GROUP BY 1, 2")
+def q_coalesce_merge(t: Tables) -> DataFrame:
+    """Duplicates by key merged: of each column the first value that is not null, in order of the source."""
+    flag = F.when(F.col("l_returnflag") != "N", F.struct("l_suppkey", "l_returnflag"))
+    supplier = F.when(F.col("l_tax") > 0.02, F.col("l_suppkey"))
+    return t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min(flag)["l_returnflag"].alias("flag"), F.min(supplier).alias("supplier"))
+
+
+@query("SELECT l_orderkey, round((CASE WHEN max(l_quantity) > 45 THEN 0.7 ELSE 1.0 END) * (CASE WHEN count(*) <> max(l_linenumber) THEN 0.8 ELSE 1.0 END) * pow(0.9, count(*) FILTER (l_quantity < 10)), 6) AS confidence FROM lineitem GROUP BY 1")
+def q_penalty_confidence(t: Tables) -> DataFrame:
+    groups = t.lineitem.groupBy("l_orderkey").agg(F.max("l_quantity").alias("most"), F.count("*").alias("n"), F.max("l_linenumber").alias("top"), F.count_if(F.col("l_quantity") < 10).alias("small"))
+    score = F.when(F.col("most") > 45, 0.7).otherwise(1.0) * F.when(F.col("n") != F.col("top"), 0.8).otherwise(1.0) * F.pow(F.lit(0.9), F.col("small"))
+    return groups.select("l_orderkey", F.round(score, 6).alias("confidence"))
+
+
+@query("SELECT l_partkey, round(coalesce(sum(cast(round(l_discount * 100) AS BIGINT) * l_linenumber) / nullif(sum(l_linenumber), 0) / 100, 0.5), 6) AS confidence FROM lineitem GROUP BY 1")
+def q_weighted_confidence(t: Tables) -> DataFrame:
+    cents = F.round(F.col("l_discount") * 100).cast("long")
+    mean = C.safe_ratio(F.sum(cents * F.col("l_linenumber")), F.sum("l_linenumber")) / 100
+    return t.lineitem.groupBy("l_partkey").agg(F.round(F.coalesce(mean, F.lit(0.5)), 6).alias("confidence"))
+
+
+@query("""WITH s AS (SELECT doc_id, 2 * cast(contains(text, '@') AS INTEGER) + cast(contains(text, 'http') AS INTEGER) AS contact, 2 * cast(n_chars > 3000 AS INTEGER) + cast(contains(text, chr(10)) AS INTEGER) AS article, 3 * cast(regexp_matches(text, '[0-9]{4}') AS INTEGER) AS data FROM documents)
+SELECT doc_id, CASE WHEN greatest(contact, article, data) < 2 THEN 'mixed' WHEN contact = greatest(contact, article, data) THEN 'contact' WHEN article = greatest(contact, article, data) THEN 'article' ELSE 'data' END AS category FROM s""")
+def q_doc_category(t: Tables) -> DataFrame:
+    """Additive scores of each class; the first of the best, or mixed below two points."""
+    sign = lambda *pairs: sum((F.when(F.expr(c), k).otherwise(0) for k, c in pairs), F.lit(0))
+    scores = {"contact": sign((2, "contains(text, '@')"), (1, "contains(text, 'http')")), "article": sign((2, "n_chars > 3000"), (1, "contains(text, '\\n')")), "data": sign((3, "text rlike '[0-9]{4}'"))}
+    return t.documents.select("doc_id", C.first_best(scores, 2, "mixed").alias("category"))
+
+
+@query("SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS slot, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'view') AS views FROM events GROUP BY 1, 2 HAVING count(*) FILTER (event_type = 'error') >= 3 OR count(*) FILTER (event_type = 'view') >= 5")
+def q_alerts(t: Tables) -> DataFrame:
+    counts = t.events.groupBy("user_id", F.window("ts", "1 day").alias("w")).agg(*(F.count_if(F.col("event_type") == k).alias(f"{k}s") for k in ("error", "view")))
+    return counts.where("errors >= 3 or views >= 5").select("user_id", F.col("w.start").alias("slot"), "errors", "views")
+
+
+@query("WITH v AS (SELECT l_partkey AS entity, l_linenumber AS item, l_returnflag AS pick, count(*) AS votes, min(l_suppkey) AS first FROM lineitem GROUP BY 1, 2, 3) SELECT entity, item, pick, votes, conflicts FROM (SELECT *, row_number() OVER (PARTITION BY entity, item ORDER BY votes DESC, first, pick) AS rn, count(*) OVER (PARTITION BY entity, item) - 1 AS conflicts FROM v) WHERE rn = 1")
+def q_membership_vote(t: Tables) -> DataFrame:
+    """For each item of an entity the class with the most votes, then of the first source; and how many others were named."""
+    votes = t.lineitem.groupBy(F.col("l_partkey").alias("entity"), F.col("l_linenumber").alias("item"), F.col("l_returnflag").alias("pick")).agg(F.count("*").alias("votes"), F.min("l_suppkey").alias("first"))
+    best = F.min(F.struct((-F.col("votes")).alias("minus"), "first", "pick"))
+    found = votes.groupBy("entity", "item").agg(best.alias("b"), (F.count("*") - 1).alias("conflicts"))
+    return found.select("entity", "item", "b.pick", (-F.col("b.minus")).alias("votes"), "conflicts")
+
+
+@query("WITH s AS (SELECT p_partkey, p_brand, p_size = 50 AS rejected, (CASE WHEN p_name LIKE '%ring%' THEN 100 WHEN p_name LIKE '%box%' THEN 80 ELSE 0 END) + least(p_size * 3, 100) + (CASE WHEN p_retailprice < 1000 THEN 20 WHEN p_retailprice < 1500 THEN 10 ELSE 5 END) AS score FROM part) SELECT p_brand, p_partkey, cast(CASE WHEN rejected THEN -1 ELSE score END AS BIGINT) AS score FROM s QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN rejected THEN -1 ELSE score END DESC, p_partkey) <= 3")
+def q_score_rank(t: Tables) -> DataFrame:
+    """Rules that reject come first; the others' points add up, and the best three of each group stay."""
+    kind = F.when(F.col("p_name").like("%ring%"), 100).when(F.col("p_name").like("%box%"), 80).otherwise(0)
+    recent = F.when(F.col("p_retailprice") < 1000, 20).when(F.col("p_retailprice") < 1500, 10).otherwise(5)
+    score = F.when(F.col("p_size") == 50, -1).otherwise(kind + F.least(F.col("p_size") * 3, F.lit(100)) + recent).cast("long")
+    return R.top_k(t.part.select("p_brand", "p_partkey", score.alias("score")), ["p_brand"], [F.desc("score"), F.col("p_partkey")], 3).drop("rn")
+
+
+@query("SELECT c_custkey, array_to_string(list_sort(string_split(lower(replace(c_name, '#', ' ')), ' ')), ' ') AS key FROM customer")
+def q_person_key(t: Tables) -> DataFrame:
+    return t.customer.select("c_custkey", C.person_key(F.col("c_name")).alias("key"))
+
+
+@query("SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 12)")
+def q_shared_members(t: Tables) -> DataFrame:
+    """Members of the groups above a size, by a join with the groups' keys, one row each."""
+    busy = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n")).where("n > 12")
+    return t.customer.select("c_custkey").join(busy, "c_custkey")
