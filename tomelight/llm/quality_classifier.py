@@ -14,28 +14,29 @@ from .textkit import as_binary
 
 #: Labelled texts of each class that the classifier is fitted on, at most (those with the least hash of their id).
 SAMPLE = 3000
-#: Bytes of each dictionary, at most, and of the pieces that a text gives to it.
-DICTIONARY = 512 << 10
-PIECE = 256
 #: Texts much shorter than this many bytes are scored near the share of label 1.
 SHORT = 48
+#: Bytes that are compressed at a time; for more, zstandard copies the tables of the dictionary instead of reading them in place.
+PART = 16 << 10
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     content = content.ljust(16)
+    bits = min(26, max(16, len(content).bit_length()))  # with smaller tables zstandard forgets, or never reads, the front of the content
+    params = zstandard.ZstdCompressionParameters.from_level(3, window_log=max(21, bits), hash_log=bits, chain_log=bits - 1, write_checksum=False, write_content_size=False, write_dict_id=False)
     words = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    words.precompute_compress(level=3)
-    return zstandard.ZstdCompressor(dict_data=words, write_checksum=False, write_content_size=False, write_dict_id=False)
+    words.precompute_compress(compression_params=params)
+    return zstandard.ZstdCompressor(dict_data=words, compression_params=params)
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
-    """Pieces from all over each text, as many as the dictionary has room for."""
-    share = max(1, DICTIONARY // max(1, len(texts)) // PIECE)
-    out = []
-    for t in texts:
-        last = max(0, len(t) - PIECE)
-        out += [t[a : a + PIECE] for a in sorted({last * k // max(1, share - 1) for k in range(share)})]
-    return b"\n".join(out)[:DICTIONARY]
+    """The whole of each text."""
+    return b"\n".join(texts)
+
+
+def _size(compressor: zstandard.ZstdCompressor, text: bytes) -> int:
+    """The compressed size of the whole text, in parts."""
+    return sum(len(compressor.compress(text[a : a + PART])) for a in range(0, max(1, len(text)), PART))
 
 
 def _evidence(texts: list[bytes], good: bytes, bad: bytes) -> np.ndarray:
@@ -43,7 +44,7 @@ def _evidence(texts: list[bytes], good: bytes, bad: bytes) -> np.ndarray:
     g, b = _compressor(good), _compressor(bad)
     size = np.array([len(t) for t in texts], float)
     weight = size / (size + SHORT)
-    less = np.array([len(b.compress(t)) - len(g.compress(t)) for t in texts], float) / np.maximum(size, 1)
+    less = np.array([_size(b, t) - _size(g, t) for t in texts], float) / np.maximum(size, 1)
     return np.stack([less * weight, weight], 1)
 
 
@@ -74,7 +75,7 @@ class QualityModel:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
-    """Fit on at most SAMPLE labelled texts of each class; rows without a label or text teach nothing.
+    """Fit on the whole of at most SAMPLE labelled texts of each class; rows without a label or text teach nothing.
 
     Sizes are compared by dictionaries of the other half of the sample, so that calibration never sees
     a text that is in the dictionary; the final dictionaries hold both halves. With no labelled rows of
@@ -104,7 +105,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
 def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", score_col: str = "quality_score") -> DataFrame:
     """docs with one more column (replaced if there): the score in 0..1 of each whole text, null and empty texts included."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of DICTIONARY bytes at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of SAMPLE whole texts at most
     docs = docs.drop(score_col)
     at = docs.columns.index(text_col)
 
