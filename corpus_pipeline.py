@@ -10,7 +10,7 @@ from tomelight.llm.exact_dedup import exact_dedup
 from tomelight.llm.jaccard_join import jaccard_components
 from tomelight.llm.quality_classifier import fit_quality, score_quality
 from tomelight.llm.queries import held_out, word_vocabulary
-from tomelight.llm.store import durable, restrict
+from tomelight.llm.store import durable, restrict, row_key
 
 #: Documents of a lower quality score go.
 QUALITY = 0.3
@@ -28,16 +28,29 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest doc_id."""
-    gone = durable(exact_dedup(docs).where("not kept").select("doc_id").distinct(), "gone")
-    return restrict(docs, gone, "doc_id", "left_anti")
+    """Of equal texts, the row with the largest doc_id; rows with that id and text all stay, and those of a text with null ids only."""
+    gone = exact_dedup(docs).where("not kept").select(F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text_sha256").alias("__row")).distinct()
+    sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    docs = docs.withColumn("__row", F.xxhash64(F.col("doc_id").isNull(), "doc_id", sha))
+    return restrict(docs, durable(gone, "gone"), "__row", "left_anti").drop("__row")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (chains of links), the document with the least doc_id."""
-    found = jaccard_components(docs, n=SHINGLE, num=SIMILAR, den=100)
-    gone = durable(found.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    return restrict(docs, gone, "doc_id", "left_anti")
+    """Of each group of near copies (chains of links), the row with the least doc_id, one with a null id only if no other is there.
+
+    Rows are documents of their own, whatever ids they share; of rows with one id and text, one stays.
+    """
+    docs = docs.withColumn("__row", row_key("doc_id", "text"))
+    found = jaccard_components(docs, n=SHINGLE, num=SIMILAR, den=100, id_col="__row").select("__row", "component_id").distinct()
+    rows = docs.groupBy("__row").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    rows = durable(rows.join(found, "__row"), "rows")
+    first = F.min_by("__row", F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("__row")
+    heads = durable(rows.groupBy("component_id").agg(first).select("__row"), "heads")
+    kept = restrict(docs, durable(rows.join(heads, "__row", "left_anti").select("__row"), "gone"), "__row", "left_anti")
+    again = durable(rows.where("n > 1").join(heads, "__row", "left_semi").select("__row"), "again")
+    if not again.isEmpty():
+        kept = restrict(kept, again, "__row", "left_anti").unionByName(restrict(kept, again, "__row").dropDuplicates(["__row"]))
+    return kept.drop("__row")
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,8 @@ import random
 
 import numpy as np
 
+import corpus_pipeline
+from tomelight.llm.decontaminate import decontaminate
 from tomelight.llm.quality_classifier import fit_quality, score_quality
 
 
@@ -19,3 +21,22 @@ def test_quality_reads_whole_texts(spark):
     scores = {r.doc_id: r.quality_score for r in score_quality(table.where("doc_id >= 2200"), model).collect()}
     good, bad = ([s for k, s in scores.items() if k // 2 % 2 == y] for y in (1, 0))
     assert np.mean([a > b for a in good for b in bad]) > 0.95
+
+
+def test_stages_decide_by_row(spark):
+    rng = random.Random(4)
+    text = lambda n=60: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    a, b, c, d, e, f, g, h = (text() for _ in range(8))
+    left = lambda df: sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in df.collect())
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    want = lambda rows: sorted((i is None, i or 0, t) for i, t in rows)
+    stay = [(None, b), (5, d), (9, a), (None, e)]
+    assert left(corpus_pipeline.exact(spark, frame([*stay, (None, a), (5, a), (None, None), (3, "")]), "")) == want([*stay, (3, "")])
+    near = lambda t: t + " more"
+    stay = [(None, a), (5, b), (2, c), (None, d), (1, g), (6, h)]
+    gone = [(5, near(c)), (None, near(c)), (5, c), (None, a), (6, h)]
+    assert left(corpus_pipeline.near(spark, frame(stay + gone), "")) == want(stay)
+    assert len(left(corpus_pipeline.near(spark, frame([(None, e), (None, near(e)), (None, f)]), ""))) == 2
+    asked = spark.createDataFrame([(1, g)], "item_id long, text string")
+    stay = [(None, a), (4, b), (7, c)]
+    assert left(decontaminate(frame([*stay, (None, f"x {g} y"), (4, g)]), asked)) == want(stay)

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .store import durable, restrict
+from .store import durable, restrict, row_key
 from .textkit import U64, chunks, lower, mix, ngram_hashes, ragged, word_hashes, words
 
 #: Walks, samples of each walk and symbols of a sample. Windows within the distance share a sample with probability
@@ -184,6 +184,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, num: int = 20, den: int =
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without the documents that hold a benchmark item; those with a null id go only if a row with a null id holds one."""
-    held = durable(find_items(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(id_col).distinct(), "held")
-    return restrict(docs, held, id_col, "left_anti")
+    """docs without the rows that hold a benchmark item; other rows of the same id, or of a null one, stay."""
+    docs = docs.withColumn("__row", row_key(id_col, text_col))
+    held = durable(find_items(docs, benchmark, id_col="__row", text_col=text_col, **options).select("__row").distinct(), "held")
+    return restrict(docs, held, "__row", "left_anti").drop("__row")

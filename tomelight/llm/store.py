@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Up to this many ids (8 bytes each) a set of ids is sent to every executor; larger sets are shuffled.
 BROADCAST_IDS = 2_000_000
@@ -36,6 +36,11 @@ def drop(df: DataFrame) -> None:
         folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """A 64-bit hash of a row's id and text: rows that share an id, a null one too, are told apart by it."""
+    return F.xxhash64(F.col(id_col).isNull(), id_col, text_col)
+
+
 def restrict(docs: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
     """docs whose key is (left_semi) or is not (left_anti) in ids.
 
