@@ -7,6 +7,7 @@ import numpy as np
 import corpus_pipeline
 from tomelight.llm.decontaminate import decontaminate
 from tomelight.llm.quality_classifier import fit_quality, score_quality
+from tomelight.llm.suffix_dedup import suffix_dedup
 
 
 def test_quality_reads_whole_texts(spark):
@@ -40,3 +41,12 @@ def test_stages_decide_by_row(spark):
     asked = spark.createDataFrame([(1, g)], "item_id long, text string")
     stay = [(None, a), (4, b), (7, c)]
     assert left(decontaminate(frame([*stay, (None, f"x {g} y"), (4, g)]), asked)) == want(stay)
+
+
+def test_suffix_dedup_keeps_unique_texts_of_shared_ids(spark):
+    rng = random.Random(5)
+    a, b, c, d, e, f = ("".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(700)) for _ in range(6))
+    rows = [(None, a), (None, b), (8, b), (None, c), (None, c), (5, d), (5, e), (9, e), (None, f)]
+    found = suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect()
+    got = sorted((r.doc_id or 0, bytes(r.kept).decode()) for r in found)
+    assert got == sorted((i or 0, t if t in (a, d, f) else "") for i, t in rows)

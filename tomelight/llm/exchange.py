@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -43,22 +45,29 @@ class Buckets:
     """The distinct texts of a table, dealt to buckets of about `size` bytes by their hash.
 
     rows: id (null as the least number), sha (of the whole text, null as empty), one for each row of the table.
-    texts: bucket, sha, id, many (whether several rows have the text), text; a text may come twice, its
-    least id always among them. The one shuffle of texts serves all steps that group by bucket.
+    texts: bucket, sha, id, many (whether several rows have the text), text; each text once, with its least id.
+    Rows are told apart by a 64-bit hash of id and sha, as ids may be null or shared. The one shuffle of texts
+    serves all steps that group by bucket.
     """
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, size: int):
         docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         docs = docs.withColumn("sha", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
         self.rows = durable(docs.select("id", "sha", F.octet_length("text").alias("n_bytes")), "hashes")
-        classes = self.rows.groupBy("sha").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.max("n_bytes").alias("n_bytes"))
+        own = self.rows.groupBy("sha", "id").agg(F.count("*").alias("n"), F.max("n_bytes").alias("n_bytes"))
+        classes = own.groupBy("sha").agg(F.min(F.struct("id", F.col("n").alias("own"))).alias("least"), F.sum("n").alias("n"), F.max("n_bytes").alias("n_bytes"))
+        classes = classes.select("sha", "least.id", "least.own", "n", "n_bytes")
         self.classes = durable(classes, "classes")
         self.n_bytes = int(self.classes.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0])
         self.buckets = shards(docs.sparkSession, self.n_bytes, size)
-        ids = [self.classes.where(f"n {how} 1").select("id").distinct() for how in ("=", ">")]
-        parts = [restrict(docs, x, "id").withColumn("many", F.lit(k == 1)) for k, x in enumerate(ids)]
+        key = F.xxhash64("id", "sha").alias("key")
+        docs = docs.withColumn("key", key)
+        once, several, again = (self.classes.where(x).select(key) for x in ("n = 1", "n > 1 and own = 1", "own > 1"))
+        parts = [restrict(docs, once, "key").withColumn("many", F.lit(False)), restrict(docs, several, "key").withColumn("many", F.lit(True))]
+        if not again.isEmpty():  # rows that repeat id and text: one of each before the shuffle
+            parts.append(restrict(docs, again, "key").dropDuplicates(["sha"]).withColumn("many", F.lit(True)))
         bucket = F.pmod(F.xxhash64("sha"), F.lit(self.buckets)).cast("int").alias("bucket")
-        self.texts = parts[0].unionByName(parts[1]).select(bucket, "sha", "id", "many", "text")
+        self.texts = reduce(DataFrame.unionByName, parts).select(bucket, "sha", "id", "many", "text")
 
     def spread(self, results: DataFrame) -> DataFrame:
         """results (one row for each sha) for every row of the table."""
@@ -66,7 +75,7 @@ class Buckets:
 
 
 def whole(table: pa.Table) -> pa.Table:
-    """The rows of a bucket, each text once with its least id (and many, if any row has it), texts as large_binary."""
+    """The rows of a bucket, each text once with its least id, texts as large_binary."""
     if not table.num_rows:
         return table
     table = table.sort_by([("sha", "ascending"), ("id", "ascending"), ("many", "descending")])
