@@ -6,6 +6,7 @@ import numpy as np
 
 import corpus_pipeline
 from tomelight.llm.decontaminate import decontaminate
+from tomelight.llm.html_extract import extract_text
 from tomelight.llm.quality_classifier import fit_quality, score_quality
 from tomelight.llm.suffix_dedup import suffix_dedup
 
@@ -50,3 +51,11 @@ def test_suffix_dedup_keeps_unique_texts_of_shared_ids(spark):
     found = suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect()
     got = sorted((r.doc_id or 0, bytes(r.kept).decode()) for r in found)
     assert got == sorted((i or 0, t if t in (a, d, f) else "") for i, t in rows)
+
+
+def test_html_copies_are_one_page(spark):
+    page = lambda k: f"<body><div class=x>Same line</div><article><h1>Title {k}</h1><p>Own {k} text</p></article></body>"
+    rows = [(k, "http://copies.example/a", page(0)) for k in range(20)] + [(100 + k, "http://mixed.example/a", page(min(k, 2))) for k in range(40)]
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert len(got) == 60 and all(got[k] == "Title 0 Own 0 text" for k in range(20))
+    assert all(got[100 + k] == f"Title {min(k, 2)} Own {min(k, 2)} text" for k in range(40))
