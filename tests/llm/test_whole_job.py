@@ -6,7 +6,7 @@ import numpy as np
 
 import corpus_pipeline
 from tomelight.llm.decontaminate import decontaminate
-from tomelight.llm.html_extract import extract_text
+from tomelight.llm.html_extract import extract_text, main_text
 from tomelight.llm.quality_classifier import fit_quality, score_quality
 from tomelight.llm.suffix_dedup import suffix_dedup
 
@@ -59,3 +59,13 @@ def test_html_copies_are_one_page(spark):
     got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
     assert len(got) == 60 and all(got[k] == "Title 0 Own 0 text" for k in range(20))
     assert all(got[100 + k] == f"Title {min(k, 2)} Own {min(k, 2)} text" for k in range(40))
+
+
+def test_html_legal_pages_keep_their_article():
+    text = lambda page: main_text(page, frozenset())
+    assert text("<head><title>t</title><meta charset=utf-8><body><article><p>One</p></article>") == "One"
+    assert text("<head><title>t</title><style>p {}</style></head><body><article><p>One</p></article>") == "One"
+    assert text('<article><p>One <svg class="i"/> two</p><svg><text>no</text></svg><p>three</p></article>') == "One two three"
+    assert text("<div class='layout has-sidebar'><article>One</article><div class='sidebar'>no</div></div>") == "One"
+    assert text("<form id=f><main>One<div class='site-footer'>no</div></main></form>") == "One"
+    assert text("<article>One<div class='comments'><article>no</article></div></article>") == "One"
