@@ -65,7 +65,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("exact dedup", exact), ("near copies", near), ("benchmark", benchmark), ("tokens", tokens)]
 
-#: Trained scores and tokens cannot be written in SQL; tests hold each stage against a brute-force version.
+#: Trained scores and tokens cannot be written in SQL; tests hold the exact stage against a brute-force version, the others against small cases.
 ORACLE_SQL = None
 
 
