@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .store import durable, restrict, row_key
-from .textkit import U64, chunks, lower, mix, ngram_hashes, ragged, word_hashes, words
+from .textkit import U64, chunks, lower, mix, ngram_hashes, ragged, byte_hashes, words
 
 #: Walks, samples of each walk and symbols of a sample. Windows within the distance share a sample with probability
 #: 0.95 at least if half of the symbols of a walk differ, and nearly always with fewer.
@@ -25,7 +25,7 @@ class Items:
         self.ids, self.sets = [], []
         for a, b, data, offsets in chunks(column):
             starts, ends, first = words(lower(data), offsets)
-            h = word_hashes(lower(data), starts, ends)
+            h = byte_hashes(lower(data), starts, ends)
             for k in range(b - a):
                 if first[k + 1] > first[k]:
                     self.ids.append(ids[a + k])
@@ -130,7 +130,7 @@ def _search(shared, batch_rows: int = 1 << 15):
             for a, _, data, offsets in chunks(batch.column(1)):
                 data = lower(data)
                 starts, ends, first = words(data, offsets)
-                hashes = word_hashes(data, starts, ends)
+                hashes = byte_hashes(data, starts, ends)
                 best: dict[tuple[int, int], tuple[int, int, int]] = {}
                 for n, found in _windows(items, hashes, first):
                     own, keys = items.tables[n]

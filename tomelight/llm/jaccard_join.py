@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import golomb
 from .components import components
 from .store import attach, durable, restrict, shards
-from .textkit import U64, chunks, lower, mix, ngram_hashes, prefix_sums, ragged, span_hash, word_hashes, words
+from .textkit import U64, byte_hashes, chunks, lower, mix, ngram_hashes, ragged, run_hashes, words
 
 #: n-grams of one packet and of one owner in the exchange of their counts, about.
 PACKET = 128_000
@@ -27,12 +27,11 @@ def _sets(column, n: int):
     for a, b, data, offsets in chunks(column):
         data = lower(data)
         starts, ends, first = words(data, offsets)
-        hashes = word_hashes(data, starts, ends)
+        hashes = byte_hashes(data, starts, ends)
         grams = ngram_hashes(hashes, n)
         short = [k for k in range(b - a) if 0 < first[k + 1] - first[k] < n]
         if short:
-            sums = prefix_sums(hashes)
-            whole = mix(span_hash(sums, first[:-1][short], first[1:][short]) ^ _FEW)
+            whole = mix(run_hashes(hashes, first[:-1][short], first[1:][short]) ^ _FEW)
             few = dict(zip(short, whole, strict=True))
         out = []
         for k in range(b - a):

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import golomb
 from .exchange import PER_OWNER, Buckets, joined, lists, member, spans, whole
 from .store import shards
-from .textkit import U64, chunks, inside, mix, ngram_hashes, word_hashes, words
+from .textkit import U64, byte_hashes, chunks, inside, mix, ngram_hashes, words
 
 #: Bytes of texts that one task looks at at a time, about.
 BUCKET = 6 << 20
@@ -22,7 +22,7 @@ def _parts(texts: pa.Table):
     """Of runs of texts: the row of the first one, bytes, word starts and ends, the first word of each text, word hashes."""
     for a, _, data, offsets in chunks(texts.column("text")):
         starts, ends, first = words(data, offsets)
-        yield a, data, starts, ends, first, word_hashes(data, starts, ends)
+        yield a, data, starts, ends, first, byte_hashes(data, starts, ends)
 
 
 def _anchors(first: np.ndarray, hashes: np.ndarray, n: int, block: int, bits: int):
@@ -71,6 +71,29 @@ def _hits(table: pa.Table) -> pa.Table:
     return pa.table({"bucket": table.column("bucket"), "owner": table.column("owner"), **{c: pa.array([golomb.encode(x[member(x, found)]) for x in asked], pa.binary()) for c, found in (("one", one), ("two", two))}})
 
 
+_SECOND = U64(0xD6E8FEB86659FD93)
+
+
+def _seconds(hashes: np.ndarray, n: int) -> np.ndarray:
+    """32 more bits of each window of n words, from other hashes of its words; with them a chance equality is one in 2**96."""
+    return (ngram_hashes(mix(hashes ^ _SECOND), n) >> U64(32)).astype(np.uint32)
+
+
+def _pack(values: np.ndarray) -> bytes:
+    return zlib.compress(values.tobytes(), 1)
+
+
+def _unpack(column, kind) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(zlib.decompress(x.as_py()), kind) for x in column)])
+
+
+def _heads(*keys: np.ndarray) -> np.ndarray:
+    """Where a new value begins in sorted keys."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
+
 def _extend(n: int, block: int, bits: int, owners: int):
     """To each owner: the windows of n words round the hits, with the least id that has each in the bucket."""
 
@@ -78,7 +101,7 @@ def _extend(n: int, block: int, bits: int, owners: int):
         texts = whole(table)
         ids = texts.column("id").to_numpy()
         one, two = joined(answers.column("one")), joined(answers.column("two"))
-        found, least = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+        found, check, least = [np.zeros(0, U64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for at, _, _, _, first, hashes in _parts(texts):
             grams, ok, text, index = _anchors(first, hashes, n, block, bits)
             hit = ok & member(grams, two)
@@ -90,19 +113,17 @@ def _extend(n: int, block: int, bits: int, owners: int):
             p = np.flatnonzero(inside(first, n)[: len(full)])
             p = p[near[p + n - block + 1] > near[p]]
             found.append(full[p])
+            check.append(_seconds(hashes, n)[p] if len(p) else check[0])
             least.append(ids[at + text[p]])
-        values, ids = np.concatenate(found), np.concatenate(least)
-        order = np.lexsort((ids, values))
-        values, ids = values[order], ids[order]
-        head = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
-        last = ids[np.concatenate([head[1:], [len(ids)]]).astype(np.int64) - 1] if len(values) else ids
-        values, ids = values[head], ids[head]
-        several = values[last > ids]
-        out = []
-        for owner, a, b in spans(values, 64, owners):
-            out.append((owner, golomb.encode(values[a:b]), golomb.encode(several[member(several, values[a:b])]), zlib.compress(ids[a:b].tobytes(), 1)))
+        values, check, ids = np.concatenate(found), np.concatenate(check), np.concatenate(least)
+        order = np.lexsort((ids, check, values))
+        values, check, ids = values[order], check[order], ids[order]
+        head = _heads(values, check) if len(values) else np.zeros(0, np.int64)
+        several = ids[np.append(head[1:], len(ids)) - 1] > ids[head] if len(values) else np.zeros(0, bool)
+        values, check, ids = values[head], check[head], ids[head]
+        out = [(owner, golomb.encode(values[a:b]), _pack(check[a:b]), np.packbits(several[a:b]).tobytes(), _pack(ids[a:b])) for owner, a, b in spans(values, 64, owners)]
         bucket = texts.column("bucket")[0].as_py() if texts.num_rows else 0
-        return pa.table({"owner": pa.array([o[0] for o in out], pa.int32()), "bucket": pa.array([bucket] * len(out), pa.int32()), **{c: pa.array([o[k] for o in out], pa.binary()) for k, c in enumerate(("windows", "several", "least"), 1)}})
+        return pa.table({"owner": pa.array([o[0] for o in out], pa.int32()), "bucket": pa.array([bucket] * len(out), pa.int32()), **{c: pa.array([o[k] for o in out], pa.binary()) for k, c in enumerate(("windows", "check", "several", "least"), 1)}})
 
     return extend
 
@@ -110,20 +131,21 @@ def _extend(n: int, block: int, bits: int, owners: int):
 def _repeats(table: pa.Table) -> pa.Table:
     """Of each list of windows, those of more than one id, with the least id of all."""
     asked = lists(table.column("windows"))
-    ids = [np.frombuffer(zlib.decompress(x.as_py()), np.int64) for x in table.column("least")]
-    values, first, at = np.unique(np.concatenate(asked), return_index=True, return_inverse=True)
-    least = np.concatenate(ids)
-    low, high = np.full(len(values), 2**63 - 1), np.full(len(values), -(2**63))
-    np.minimum.at(low, at, least)
-    np.maximum.at(high, at, least)
-    repeated = (low < high) | member(values, joined(table.column("several")))
+    values, check, ids = np.concatenate(asked), _unpack(table.column("check"), np.uint32), _unpack(table.column("least"), np.int64)
+    several = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(v)) for x, v in zip(table.column("several"), asked, strict=True)]).astype(bool)
+    order = np.lexsort((ids, check, values))
+    head = _heads(values[order], check[order])
+    size = np.diff(np.append(head, len(order)))
+    least, last = ids[order][head], ids[order][head + size - 1]
+    repeated = (least < last) | np.logical_or.reduceat(several[order], head)
+    low, again = np.empty(len(order), np.int64), np.empty(len(order), bool)
+    low[order], again[order] = np.repeat(least, size), np.repeat(repeated, size)
     out, k = [], 0
     for x in asked:
-        own = at[k : k + len(x)]
+        own = k + np.flatnonzero(again[k : k + len(x)])
         k += len(x)
-        own = own[repeated[own]]
-        out.append((golomb.encode(values[own]), zlib.compress(low[own].tobytes(), 1)))
-    return pa.table({"bucket": table.column("bucket"), "owner": table.column("owner"), "windows": pa.array([o[0] for o in out], pa.binary()), "least": pa.array([o[1] for o in out], pa.binary())})
+        out.append((golomb.encode(values[own]), _pack(check[own]), _pack(low[own])))
+    return pa.table({"bucket": table.column("bucket"), "owner": table.column("owner"), **{c: pa.array([o[k] for o in out], pa.binary()) for k, c in enumerate(("windows", "check", "least"))}})
 
 
 def _remove(n: int, with_text: bool):
@@ -131,16 +153,20 @@ def _remove(n: int, with_text: bool):
         texts = whole(table)
         ids = texts.column("id").to_numpy()
         windows = np.concatenate([np.zeros(0, U64), *lists(answers.column("windows"))])
-        least = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(zlib.decompress(x.as_py()), np.int64) for x in answers.column("least"))])
-        order = np.argsort(windows)
-        windows, least = windows[order], least[order]
+        check, least = _unpack(answers.column("check"), np.uint32), _unpack(answers.column("least"), np.int64)
+        order = np.lexsort((check, windows))
+        windows, check, least = windows[order], check[order], least[order]
         out = {"sha": texts.column("sha").to_pylist(), "rep": ids.tolist(), "n_words": [], "n_removed": [], "kept_sha256": [], "all_sha256": [], "kept": []}
         for at, data, starts, ends, first, hashes in _parts(texts):
             full = ngram_hashes(hashes, n)
             p = np.flatnonzero(inside(first, n)[: len(full)])
-            k = np.minimum(np.searchsorted(windows, full[p]), max(0, len(windows) - 1))
+            p = p[member(full[p], windows)]
+            second = _seconds(hashes, n)[p] if len(p) else p
+            k = np.searchsorted(windows, full[p])
+            while len(behind := np.flatnonzero((k + 1 < len(windows)) & (windows[np.minimum(k + 1, len(windows) - 1)] == full[p]) & (check[k] < second))):  # a first half that two windows share
+                k[behind] += 1
             text = np.searchsorted(first, p, "right") - 1
-            gone = p[(windows[k] == full[p]) & (least[k] < ids[at + text])] if len(windows) else p[:0]
+            gone = p[(check[k] == second) & (least[k] < ids[at + text])]
             cover = np.zeros(len(starts) + 1, np.int64)
             np.add.at(cover, gone, 1)
             np.add.at(cover, gone + n, -1)
@@ -166,7 +192,7 @@ def substring_dedup(docs: DataFrame, n: int = 13, id_col: str = "doc_id", text_c
     of n words which also starts in a document with a smaller id. Null and empty texts have no words; texts of
     fewer than n words lose nothing; a null id is smaller than all others; rows that repeat an id never take
     from each other; an empty table gives an empty result; other columns are not looked at. Windows are
-    compared by 64-bit hashes.
+    compared by two hashes of 96 bits together, which no structure of texts makes equal (finalised steps over words).
 
     Reference blocks of (n + 1) // 2 words, end to end from each text's start, are the index; whatever window
     repeats holds one of them whole. Every rolling window of that length probes it. The windows of n words
@@ -180,8 +206,8 @@ def substring_dedup(docs: DataFrame, n: int = 13, id_col: str = "doc_id", text_c
     owners = shards(docs.sparkSession, texts.n_bytes / 5, PER_OWNER)
     groups = texts.texts.groupBy("bucket")
     hits = groups.applyInArrow(_probe(n, block, bits, owners), "owner int, bucket int, rolling binary, blocks binary, several binary").groupBy("owner").applyInArrow(_hits, "bucket int, owner int, one binary, two binary")
-    windows = groups.cogroup(hits.groupBy("bucket")).applyInArrow(_extend(n, block, bits, owners), "owner int, bucket int, windows binary, several binary, least binary")
-    repeats = windows.groupBy("owner").applyInArrow(_repeats, "bucket int, owner int, windows binary, least binary")
+    windows = groups.cogroup(hits.groupBy("bucket")).applyInArrow(_extend(n, block, bits, owners), "owner int, bucket int, windows binary, check binary, several binary, least binary")
+    repeats = windows.groupBy("owner").applyInArrow(_repeats, "bucket int, owner int, windows binary, check binary, least binary")
     found = groups.cogroup(repeats.groupBy("bucket")).applyInArrow(_remove(n, with_text), "sha binary, rep long, n_words long, n_removed long, kept_sha256 string, all_sha256 string, kept string")
     out = texts.spread(found if with_text else found.drop("kept"))
     copy, long = F.col("id") > F.col("rep"), F.col("n_words") >= n

@@ -9,8 +9,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Spans of more bytes than this are hashed one by one by xxh3, shorter ones eight bytes at a time together.
+_LONG = 256
+_ODD = U64(0x9E3779B97F4A7C15)
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -24,35 +26,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_BYTES = mix(np.arange(1, 257, dtype=U64) * U64(_BASE))
-_powers = [np.ones(1, U64), np.ones(1, U64)]
+def combine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Hashes of pairs."""
+    return mix(x * _ODD + y)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse, modulo 2**64."""
-    if len(_powers[0]) < n:
-        m = 1 << max(12, int(n - 1).bit_length())
-        for k, b in enumerate((_BASE, _INVERSE)):
-            x = np.full(m, b, U64)
-            x[0] = 1
-            _powers[k] = np.multiply.accumulate(x)
-    return _powers[0][:n], _powers[1][:n]
+def eights(data: np.ndarray) -> np.ndarray:
+    """At each byte, it and the seven after it as one number; past the end come zeros."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
 
 
-def prefix_sums(values: np.ndarray) -> np.ndarray:
-    """Sums s with s[0] = 0 so that span_hash(s, a, b) is a hash of values[a:b]."""
-    s = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * powers(len(values))[0], out=s[1:])
-    return s
+def byte_hashes(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans data[a:b]: a chain of finalised eight-byte steps, with no algebra that texts could break."""
+    import xxhash
 
-
-def span_hash(sums: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans [a, b); equal contents have equal hashes wherever they stand."""
-    return mix((sums[b] - sums[a]) * powers(len(sums))[1][a] + (b - a).astype(U64))
-
-
-def byte_sums(data: np.ndarray) -> np.ndarray:
-    return prefix_sums(_BYTES[data])
+    n = b - a
+    out = mix(n.astype(U64) * _ODD)
+    raw = memoryview(np.ascontiguousarray(data))
+    for k in np.flatnonzero(n > _LONG).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(raw[int(a[k]) : int(b[k])])
+    part, live = eights(data), np.flatnonzero((n > 0) & (n <= _LONG))
+    at, left, h = a[live], n[live], out[live]
+    while len(live):
+        h = mix((h * _ODD) ^ (part[at] & _MASKS[np.minimum(left, 8)]))
+        out[live] = h
+        more = left > 8
+        live, at, left, h = live[more], at[more] + 8, left[more] - 8, h[more]
+    return out
 
 
 def as_binary(column) -> pa.Array:
@@ -96,17 +98,25 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hash(byte_sums(data), starts, ends)
-
-
 def ngram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all runs of n entries (those over a text's end too; the caller leaves them out)."""
-    m = len(hashes) - n + 1
-    if m <= 0:
+    """Hashes of all runs of n entries (those over a text's end too; the caller leaves them out), by doubling."""
+    if len(hashes) < n:
         return np.zeros(0, U64)
-    a = np.arange(m)
-    return span_hash(prefix_sums(hashes), a, a + n)
+    h, have = mix(hashes + U64(n)), 1
+    while have < n:
+        step = min(have, n - have)
+        h, have = combine(h[: len(h) - step], h[step:]), have + step
+    return h
+
+
+def run_hashes(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of entries [a, b), few and short ones."""
+    out, left, at = mix((b - a).astype(U64) * _ODD), b - a, a.copy()
+    while (left > 0).any():
+        live = left > 0
+        out[live] = combine(out[live], hashes[at[live]])
+        at, left = at + 1, left - 1
+    return out
 
 
 def inside(first: np.ndarray, n: int) -> np.ndarray:
