@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -22,7 +23,7 @@ from tomelight.llm.queries import word_vocabulary
 from tomelight.llm.secret_scan import find_secrets, fit_secrets
 from tomelight.llm.substring_dedup import substring_dedup
 from tomelight.llm.suffix_dedup import suffix_dedup
-from tomelight.llm.token_files import frame, frames, read_tokens, token_store
+from tomelight.llm.token_files import Packer, frame, frames, read_at, read_tokens, token_store
 
 SCHEMA = "doc_id long, text string, id long, sha string, n long, bucket int, score double"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -192,6 +193,13 @@ def test_token_files(spark, docs, rows, empty, tmp_path):
     found = token_store(docs, word_vocabulary(), 1, path).select("doc_id", "start", "n_tokens", "ids_crc32")
     assert Counter(map(tuple, found.collect())) == want
     assert sum(len(r.ids) for r in read_tokens(spark, path).collect()) == start
+    index = spark.read.parquet(f"{path}-index").orderBy("ids_crc32").limit(40)  # reads in another order than that of the files
+    found = {(r.file, r.offset): (r.id, r.ids) for r in read_at(index, path).collect()}
+    assert len(found) == 40 and all(found[r.file, r.offset] == (r.doc_id, [*t.encode({i: x for i, x in rows}[r.doc_id] or "", add_special_tokens=False).ids, 1]) for r in index.collect() if r.doc_id)
+    packer = Packer(word_vocabulary())
+    odd = [*ODD, "", "Straße ÀÉ, ÿes! µm ªº x÷y a×b naïve.. end?", " lead  trail \n", *(x or "" for _, x in rows)]
+    ids, ends = packer.column(pa.array(odd, pa.large_string()))
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == [t.encode(x, add_special_tokens=False).ids for x in odd]
     assert token_store(empty, word_vocabulary(), 1).count() == 0
     record = frame(5, b"\1\0\2\0", 2)
     assert [(i, list(x)) for _, i, x in frames(record)] == [(5, [1, 2])]

@@ -69,6 +69,10 @@ class Vocabulary:
         """The library's own tokenizer, for characters that our tables do not have yet; most processes never need its tables."""
         return Tokenizer.from_str(self.file)
 
+    @cached_property
+    def model(self):
+        return self.library.model
+
     def words(self, text: str) -> list[str]:
         """The pre-tokens of a whole text; a special token in it is an entry of its own."""
         if "<|" not in text and not (self.odd and self.cut.search(text)):
@@ -184,7 +188,7 @@ class Vocabulary:
         """The ids of a pre-token or special token by the library's own model."""
         if word in self.special:
             return [self.special[word]]
-        return [t.id for t in self.library.model.tokenize(word if word.isalnum() and word.isascii() else word.encode().decode("latin-1").translate(self.byte_names))]
+        return [t.id for t in self.model.tokenize(word if word.isalnum() and word.isascii() else word.encode().decode("latin-1").translate(self.byte_names))]
 
     def decode(self, ids: list[int]) -> str:
         """Token strings joined by spaces, as the library does for a file without a decoder; ids outside the vocabulary are left out."""

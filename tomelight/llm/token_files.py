@@ -8,13 +8,20 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .bpe import Encoder, groups
+from .bpe import Encoder
 from .store import scratch, shards
-
-#: Bytes of text of one file, about.
-FILE = 16 << 20
+from .textkit import ragged
+
+#: Bytes of text of one file, and of the texts that are encoded at a time, about.
+FILE, RUN = 16 << 20, 4 << 20
+#: Files whose counts are added up by one task, at most.
+FILES = 4096
+#: Signs that are a pre-token of their own at the end of a word, and words of ASCII and Latin-1 letters: composed, and with one lower case each.
+_SIGNS = ".,;:!?"
+_WORD = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]?$"
 # Fixed values of the format: the mask of a checksum, and the byte that ends a record.
 _MASK, _END = 0xA282EAD8, b"\n"
 
@@ -48,6 +55,66 @@ def frames(data: bytes):
         at += 12 + n + 4 + len(_END)
 
 
+class Packer:
+    """Token ids of whole texts by the tokenizers library, which is asked for each distinct word once."""
+
+    def __init__(self, spec: str):
+        self.encoder = Encoder(spec, by_library=True)
+        self.kind = f"<u{struct.calcsize(self.encoder.kind)}"
+        self.signs = self.encoder.ids(list(_SIGNS))
+        self.tokenize = self.encoder.vocabulary.library.model.tokenize
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """The packed ids of distinct words of lower-case letters."""
+        kept, kind, tokenize, names = self.encoder.words, self.encoder.kind, self.tokenize, self.encoder.vocabulary.byte_names
+        for w in kept.missing(words):
+            ids = [t.id for t in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(names))]
+            kept.new[w] = struct.pack(f"<{len(ids)}{kind}", *ids)
+        new = kept.new
+        return [new[w] for w in words]
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All token ids of a column of texts, and where those of each text end.
+
+        Texts are cut at ASCII white space, which no pre-token crosses. Of the distinct pieces, letters with at most
+        one sign at the end are taken apart as columns; the encoder cuts the others."""
+        pieces = pc.ascii_split_whitespace(texts)
+        ends = np.cumsum(pc.list_value_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64))
+        coded = pieces.flatten().dictionary_encode()
+        distinct, at = coded.dictionary, coded.indices.to_numpy()
+        word = pc.ascii_rtrim(distinct, characters=_SIGNS)
+        signed = pc.subtract(pc.binary_length(distinct), pc.binary_length(word))
+        plain = pc.match_substring_regex(distinct, _WORD)
+        own = pc.utf8_lower(word.filter(plain)).dictionary_encode()
+        other = self.encoder.ids(distinct.filter(pc.invert(plain)).to_pylist())
+        words = self.words(own.dictionary.to_pylist())
+        pool = [b"", *self.signs, *other, *words]
+        ids = np.frombuffer(b"".join(pool), self.kind)
+        size = np.fromiter(map(len, pool), np.int64, len(pool)) // ids.itemsize
+        start = np.cumsum(size) - size
+        plain = plain.to_numpy(zero_copy_only=False)
+        first, second = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        first[~plain] = 1 + len(_SIGNS) + np.arange(len(other))
+        first[plain] = 1 + len(_SIGNS) + len(other) + own.indices.to_numpy()
+        for k, sign in enumerate(_SIGNS):
+            second[plain & (signed.to_numpy(zero_copy_only=False) > 0) & pc.ends_with(distinct, sign).to_numpy(zero_copy_only=False)] = 1 + k
+        parts = np.stack([first[at], second[at]], 1).ravel()
+        size = size[parts]
+        total = np.concatenate([[0], np.cumsum(size)])
+        return ids[ragged(start[parts], size)], total[2 * ends]
+
+
+def _runs(column, limit: int):
+    """(first row, array) of runs of whole texts of about `limit` bytes."""
+    column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
+    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
+    a = 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit, "right")))
+        yield a, column.slice(a, b - a)
+        a = b
+
+
 def write_tokens(docs: DataFrame, spec: str, end_id: int, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every whole text (null: empty), append end_id and write the records to files in `path`, ids ascending.
 
@@ -59,15 +126,15 @@ def write_tokens(docs: DataFrame, spec: str, end_id: int, path: str, id_col: str
     shared = docs.sparkSession.sparkContext.broadcast(spec)  # the vocabulary file: a few MB, whatever the corpus
 
     def run(batches):
-        encoder = Encoder(shared.value, by_library=True)
-        width = struct.calcsize(encoder.kind)
+        packer = Packer(shared.value)
+        width = struct.calcsize(packer.encoder.kind)
         end = end_id.to_bytes(width, "little")
         for batch in batches:
-            at, names = 0, batch.column(0).to_pylist()
-            for some in groups(batch.column(1)):
-                rows = encoder.batch(some)
-                out = [frame(i, b"".join(row) + end, width)[:-1] for i, row in zip(names[at : at + len(some)], rows, strict=True)]
-                at += len(some)
+            names = batch.column(0).to_pylist()
+            for a, texts in _runs(batch.column(1), RUN):
+                ids, ends = packer.column(texts)
+                raw, cuts = memoryview(ids.tobytes()), [0, *(ends * width).tolist()]
+                out = [frame(i, b"".join((raw[x:y], end)), width)[:-1] for i, x, y in zip(names[a : a + len(texts)], cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
     ordered = docs.repartitionByRange(parts, "id").sortWithinPartitions("id", "text")
@@ -93,16 +160,42 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
 
 
 def token_index(spark: SparkSession, path: str) -> DataFrame:
-    """Per record: file, offset, id, start (token ids of all records before it), n_tokens, ids_crc32. Only one row a file meets in one task."""
+    """Per record: file, offset, id, start (token ids of all records before it), n_tokens, ids_crc32.
+
+    Counts of files are added up in groups of FILES files, then one row of each group meets in one task."""
     rows = read_tokens(spark, path, with_ids=False).drop("ids")
     rows.write.parquet(f"{path}-records")
     rows = spark.read.parquet(f"{path}-records")
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    order = Window.orderBy(F.regexp_extract("file", r"part-(\d+)", 1).cast("int")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select("file", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
+    number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
+    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).select("file", "n", number.alias("number"), F.floor(number / FILES).alias("group"))
+    before = Window.partitionBy("group").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    groups = files.groupBy("group").agg(F.sum("n").alias("n"))
+    groups = groups.select("group", F.coalesce(F.sum("n").over(Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    files = files.select("file", "group", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("own"))
+    starts = files.join(groups, "group").select("file", (F.col("base") + F.col("own")).alias("base"))
     return rows.join(starts, "file").select("file", "offset", "id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def read_at(wanted: DataFrame, path: str) -> DataFrame:
+    """The records at wanted (file, offset), in no order: file, offset, id, ids. Only files with a wanted record are
+    parsed, only at these offsets, and each checksum is held against its record; a wrong offset raises ValueError."""
+    spark = wanted.sparkSession
+    offsets = wanted.select("file", "offset").groupBy("file").agg(F.sort_array(F.collect_set("offset")).alias("offsets"))  # a file has FILE bytes of text, about
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.col("path").alias("file"), "content")
+
+    def run(batches):
+        for batch in batches:
+            for name, content, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                data, rows = memoryview(content.as_buffer()), []
+                for at in places:
+                    _, doc_id, ids = next(frames(bytes(data[at : at + 16 + struct.unpack_from("<Q", data, at)[0]])))
+                    rows.append((name, at, doc_id, ids.tolist()))
+                kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["file", "offset", "id", "ids"])
+
+    return files.join(offsets, "file").select("file", "content", "offsets").mapInArrow(run, "file string, offset long, id long, ids array<long>")
+
+
 def token_store(docs: DataFrame, spec: str, end_id: int, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write documents as token files with an index beside them (Parquet in <path>-index), and return the index read back.
 
