@@ -12,9 +12,11 @@ BROADCAST_IDS = 2_000_000
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder; one of our own only where the session names none (tests)."""
+    """The shared folder; one of our own only where the session names none and runs in one process (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tomelight-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
