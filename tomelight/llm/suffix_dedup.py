@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import golomb
 from .exchange import PER_OWNER, Buckets, joined, lists, member, spans, whole
-from .store import shards
+from .store import durable, shards
 from .textkit import U64, byte_hashes, chunks, eights, mix
 
 #: Bytes of texts that one task looks at at a time, about.
@@ -228,8 +228,8 @@ def _routes(data: np.ndarray, size: int, p: np.ndarray, a: np.ndarray, b: np.nda
     return key, place
 
 
-def _stretches(size: int, bits: int, owners: int):
-    """To each owner: the stretches of a bucket whose strings have one route, each content once with all its places.
+def _stretches(size: int, bits: int):
+    """The stretches of a bucket whose strings have one route, each content once with all its places.
 
     inner: that route's phrase is at several places, so strings of one stretch may be equal."""
 
@@ -254,25 +254,20 @@ def _stretches(size: int, bits: int, owners: int):
         route = np.array([x[0] for x in found.values()], U64)
         places = [np.array(x[2:], np.int64).tobytes() for x in found.values()]
         inner = pa.array([x[1] for x in found.values()], pa.bool_())
-        owner = ((mix(route) >> U64(32)) * U64(owners) >> U64(32)).astype(np.int32)
+        names = [hashlib.blake2b(x, digest_size=16).digest() for x in found]
         bucket = table.column("bucket")[0].as_py() if table.num_rows else 0
-        return pa.table({"owner": owner, "bucket": pa.array([bucket] * len(found), pa.int32()), "route": route.view(np.int64), "inner": inner, "places": pa.array(places, pa.binary()), "content": pa.array(list(found), pa.binary())})
+        times = pa.array([len(x) // 16 for x in places], pa.int64())
+        return pa.table({"bucket": pa.array([bucket] * len(found), pa.int32()), "name": pa.array(names, pa.binary()), "route": route.view(np.int64), "inner": inner, "times": times, "places": pa.array(places, pa.binary()), "content": pa.array(list(found), pa.binary())})
 
     return stretches
 
 
 def _ordered(size: int):
-    """Of each stretch, which of its strings start elsewhere too: bits, in the order of the strings."""
+    """Of each stretch, which of its strings start elsewhere too: bits, in the order of the strings. No two rows are equal."""
 
     def ordered(table: pa.Table) -> pa.Table:
-        coded = table.column("content").combine_chunks().dictionary_encode()
-        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
-        at, contents = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        times = np.bincount(at, weights=[len(x.as_py()) // 16 for x in table.column("places")]).astype(np.int64)
-        route = np.empty(len(contents), np.int64)
-        route[at] = table.column("route").to_numpy()
-        inner = np.zeros(len(contents), bool)
-        inner[at] = table.column("inner").to_numpy()
+        contents, times = table.column("content").to_pylist(), table.column("times").to_numpy()
+        route, inner = table.column("route").to_numpy(), table.column("inner").to_numpy(zero_copy_only=False)
         bits = [np.full(len(x) - size + 1, n > 1) for x, n in zip(contents, times.tolist(), strict=True)]
         order = np.argsort(route, kind="stable")
         groups = np.split(order, np.flatnonzero(np.diff(route[order])) + 1)
@@ -288,7 +283,7 @@ def _ordered(size: int):
                     bits[j] |= found[x : y - size + 1]
                 some, total = [], 0
         packed = [np.packbits(x).tobytes() if x.any() else None for x in bits]
-        out = pa.table({"bucket": table.column("bucket"), "places": table.column("places"), "found": pa.array([packed[j] for j in at.tolist()], pa.binary())})
+        out = pa.table({"name": table.column("name"), "found": pa.array(packed, pa.binary())})
         return out.filter(out.column("found").is_valid())
 
     return ordered
@@ -338,9 +333,9 @@ def suffix_dedup(docs: DataFrame, size: int = 400, id_col: str = "doc_id", text_
     Rolling-hash triggers cut each text into phrases that overlap by a trigger (prefix-free parsing). The dictionary
     is counted over the corpus first; a string that holds a phrase which occurs once cannot repeat, so only the
     repetitive stretches of the parse go on. Their strings are dealt by a phrase that each of them holds, runs of
-    them as one stretch, to owners, where equal stretches meet as one. Each owner ranks the suffixes of its dictionary
-    and of its parse, which gives the order of all suffixes of its stretches; neighbours that share `size` bytes are
-    repeats. Bytes are compared, hashes only choose the owner.
+    them as one stretch, to owners; equal stretches, told by 128-bit hashes, are one before that, so a passage of any
+    number of documents is one row. Each owner ranks the suffixes of its dictionary and of its parse, which gives the
+    order of all suffixes of its stretches; neighbours that share `size` bytes, byte for byte, are repeats.
     """
     if size < TRIGGER:
         raise ValueError(f"size is {TRIGGER} at least")
@@ -350,8 +345,11 @@ def suffix_dedup(docs: DataFrame, size: int = 400, id_col: str = "doc_id", text_
     owners, orders = shards(docs.sparkSession, texts.n_bytes / 4, PER_OWNER), shards(docs.sparkSession, texts.n_bytes, STRETCHES)
     groups = texts.texts.groupBy("bucket")
     phrases = groups.applyInArrow(_dictionary(size, bits, owners), "owner int, bucket int, sent binary, several binary").groupBy("owner").applyInArrow(_repeated, "bucket int, owner int, found binary")
-    stretches = groups.cogroup(phrases.groupBy("bucket")).applyInArrow(_stretches(size, bits, orders), "owner int, bucket int, route long, inner boolean, places binary, content binary")
-    repeats = stretches.groupBy("owner").applyInArrow(_ordered(size), "bucket int, places binary, found binary")
+    stretches = groups.cogroup(phrases.groupBy("bucket")).applyInArrow(_stretches(size, bits), "bucket int, name binary, route long, inner boolean, times long, places binary, content binary")
+    stretches = durable(stretches, "stretches")
+    contents = stretches.groupBy("name").agg(F.first("route").alias("route"), F.first("inner").alias("inner"), F.sum("times").alias("times"), F.first("content").alias("content"))
+    ordered = contents.withColumn("owner", F.pmod(F.xxhash64("route"), F.lit(orders))).groupBy("owner").applyInArrow(_ordered(size), "name binary, found binary")
+    repeats = stretches.select("bucket", "name", "places").join(ordered, "name").select("bucket", "places", "found")
     found = groups.cogroup(repeats.groupBy("bucket")).applyInArrow(_remove(size, with_text), "sha binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     out = texts.spread(found)
     columns = [F.when(F.col("id") > -(2**63), F.col("id")).cast(kind).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256"]
