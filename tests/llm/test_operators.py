@@ -272,6 +272,9 @@ def test_decontamination(spark, empty):
                 want[i, k] = min(near)
     assert len(want) > 60 and set(got) <= set(want) and len(set(want) - set(got)) <= 0.05 * len(want)
     assert all(plain_distance(a, b) == edit_distance(a, b, 99) for a, b in zip(items, items[1:], strict=False))
+    for _ in range(400):
+        a, b = ([rng.randrange(4) for _ in range(rng.randrange(0, 14))] for _ in range(2))
+        assert edit_distance(a, b, 99) == plain_distance(a, b) and edit_distance(a, b, 3) == min(4, plain_distance(a, b))
     left = {r.doc_id for r in decontaminate(table, asked).collect()}
     assert left == {i for i, _ in found} - {i for i, _ in got}
     assert find_items(empty, asked).count() == 0 and find_items(table, asked.limit(0)).count() == 0
