@@ -3,6 +3,7 @@
 import hashlib
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -79,3 +80,18 @@ def test_structured_words_are_not_equal(spark, n):
     docs = spark.createDataFrame([(1, a), (2, b), (3, f"{a} {more}"), (4, f"{b} {more}")], "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in jaccard_components(docs, 1).collect()} == {1: 1, 2: 2, 3: 3, 4: 3}
     assert {r.doc_id: r.n_removed for r in substring_dedup(docs).collect()} == dict.fromkeys((1, 2, 3, 4), 0)
+
+
+def test_large_block_with_few_links(spark):
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(60_000) for _ in range(2)]
+    rng.shuffle(words)
+    texts = [words[40 * k : 40 * k + 40] for k in range(3000)]  # each word in two texts, so that prefixes chain them all
+    texts += [[*texts[k][:38], f"x{k}", f"y{k}"] for k in range(0, 30, 10)]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    before = set(Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"), "tomelight").glob("both-*"))
+    got = {r.doc_id: r.component_id for r in jaccard_components(docs, 1, 80).collect()}
+    assert got == {k: k for k in range(3000)} | {3000: 0, 3001: 10, 3002: 20}
+    (both,) = set(Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"), "tomelight").glob("both-*")) - before
+    rows = spark.read.parquet(str(both)).groupBy("block", "role").count().groupBy("block").pivot("role", [0, 1]).sum("count").collect()
+    assert 3000 < sum(r["0"] * r["1"] for r in rows) < 300_000  # not 3000 * 3000

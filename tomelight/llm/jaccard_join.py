@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import zlib
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import golomb
 from .components import components
-from .store import attach, durable, restrict, shards
+from .store import durable, restrict, shards
 from .textkit import U64, byte_hashes, chunks, lower, mix, ngram_hashes, ragged, run_hashes, words
 
 #: n-grams of one packet and of one owner in the exchange of their counts, about.
@@ -19,6 +21,8 @@ PER_OWNER = 4_000_000
 #: Bytes of n-gram sets, and texts, that one task joins at a time, about.
 BLOCK_BYTES = 8 << 20
 BLOCK_TEXTS = 100
+#: An n-gram is hot if more prefixes than this have it, and more than their number over HOT_KEYS.
+HOT, HOT_KEYS = 2000, 1_000_000
 _FEW = U64(0x5D1C7A3B9E2F4861)
 
 
@@ -63,10 +67,10 @@ def _packets(n: int, num: int, den: int):
     """Rows of about PACKET n-grams: the counted ones of each set, and the least of the others where the prefix needs them."""
 
     def packets(batches):
-        ids, sizes, lengths, grams, total = [], [], [], [], 0
+        ids, sizes, lengths, grams, total, made = [], [], [], [], 0, count()
 
         def row():
-            name = int(mix(np.array([ids[0], ids[-1], len(ids), total], np.int64).view(U64)).sum()) & (2**63 - 1)
+            name = TaskContext.get().partitionId() << 32 | next(made)
             return pa.RecordBatch.from_arrays(
                 [pa.array([name]), *(pa.array([x], pa.list_(pa.int64())) for x in (ids, sizes, lengths)), pa.array([np.concatenate(grams).tobytes()], pa.large_binary()).cast(pa.binary())],
                 ["packet", "ids", "sizes", "lengths", "grams"],
@@ -150,10 +154,9 @@ def _prefixes(num: int, den: int, bits: int):
 
 def _packed(n: int):
     def packed(batches):
-        kept = ("id", "block", "label", "subs", "role", "turns", "everywhere")
         for batch in batches:
             sets = [s.tobytes() for _, some in _sets(batch.column("text"), n) for s in some]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sets, pa.binary())], [*kept, "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["id", "grams"])
 
     return packed
 
@@ -247,8 +250,9 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     sizes, so classes that share neither are never compared, and n-grams of a single class route nothing.
     Classes that do are linked to the least class with that n-gram and size, never in pairs, and what is
     linked is a block. A block of usual size is joined in a prefix tree by one task. A larger one is dealt to
-    parts, the classes that many others were linked to going to all of them; then the classes outside the
-    block's largest component, and only those, are compared with every part.
+    parts, the classes that many others were linked to going to all of them; then the classes outside the block's
+    largest component, and only those, are compared with the classes that share an n-gram of their prefix and have
+    like sizes, list by list, a long list in parts. So a large block with few links costs what its lists hold.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
@@ -263,9 +267,14 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     routes = packets.groupBy("packet").cogroup(levels.groupBy("packet")).applyInArrow(_prefixes(num, den, bits), "gram long, id long, n long")
     routes = durable(routes.withColumn("size", F.floor(F.log("n") / np.log(den / num)).cast("int")), "routes")  # sizes of links are equal or neighbours
 
-    hubs = routes.groupBy("gram", "size").agg(F.min("id").alias("hub"), F.max("id").alias("top"))
+    hubs = routes.groupBy("gram", "size").agg(F.min("id").alias("hub"), F.max("id").alias("top"), F.count("*").alias("rows"))
+    hubs = durable(hubs, "hubs")
     below = hubs.select("gram", (F.col("size") + 1).alias("size"), F.col("hub").alias("id"))
-    stars = routes.join(hubs.where("hub < top").select("gram", "size", "hub"), ["gram", "size"]).where("id <> hub").select("id", "hub")
+    several = hubs.where("hub < top")
+    hot = several.where(F.col("rows") > max(HOT, routes.count() // HOT_KEYS)).select("gram", "size", "hub")  # HOT_KEYS rows at most, so their routes stay where they are
+    cool = several.join(F.broadcast(hot.select("gram", "size")), ["gram", "size"], "left_anti")
+    rest = routes.join(F.broadcast(hot.select("gram", "size")), ["gram", "size"], "left_anti")
+    stars = routes.join(F.broadcast(hot), ["gram", "size"]).select("id", "hub").union(rest.join(cool, ["gram", "size"]).select("id", "hub")).where("id <> hub")
     candidates = durable(stars.union(hubs.join(below, ["gram", "size"]).where("id <> hub").select("id", "hub")).distinct(), "candidates")
     blocks = durable(components(candidates).toDF("id", "block"), "blocks")
     sizes = classes.select(F.col("rep").alias("id"), "n")
@@ -275,23 +284,25 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     members = durable(members, "members")
     own = "array(cast(pmod(xxhash64(id), subs) as int))"
 
-    def linked(rows: DataFrame, sub: str, turn: str) -> DataFrame:
-        sets = attach(reps, rows, "id").mapInArrow(_packed(n), "id long, block long, label long, subs int, role int, turns int, everywhere boolean, grams binary")
-        sets = sets.selectExpr("*", f"{sub} as sub").selectExpr("*", f"{turn} as turn")
-        return sets.groupBy("block", "sub", "turn").applyInArrow(_join(num, den), "a long, b long")
+    def linked(rows: DataFrame, ids: DataFrame, sub: str, turn: str) -> DataFrame:
+        sets = restrict(reps, ids, "id").mapInArrow(_packed(n), "id long, grams binary")
+        rows = rows.selectExpr("*", f"{sub} as sub").selectExpr("*", f"{turn} as turn")
+        return rows.join(sets, "id").groupBy("block", "sub", "turn").applyInArrow(_join(num, den), "a long, b long")
 
     alone = members.selectExpr("id", "block", "id as label", "subs", "0 as role", "1 as turns", "everywhere")
-    links = durable(linked(alone, f"explode(if(everywhere, sequence(0, subs - 1), {own}))", "0"), "links")
+    links = durable(linked(alone, members.select("id"), f"explode(if(everywhere, sequence(0, subs - 1), {own}))", "0"), "links")
     found = components(links)
     split = members.where("subs > 1")
     if not split.isEmpty():
-        split = durable(split.join(found, split.id == found.node, "left").select("id", "block", "subs", F.coalesce("component", "id").alias("label")), "split")
+        split = durable(split.join(found, split.id == found.node, "left").select("id", "block", F.coalesce("component", "id").alias("label")), "split")
         largest = split.groupBy("block", "label").agg(F.count("*").alias("n")).groupBy("block").agg(F.max_by("label", F.struct("n", "label")).alias("top"))
-        rest = durable(split.join(largest, "block").where("label <> top").select("id", "block", "subs", "label"), "rest")
-        turns = rest.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_TEXTS).cast("int").alias("turns"))
-        both = split.selectExpr("*", "0 as role").unionByName(rest.selectExpr("*", "1 as role")).join(turns, "block")
-        both = durable(both.select("id", "block", "label", "subs", "role", "turns", F.lit(False).alias("everywhere")), "both")
-        more = linked(both, f"explode(if(role = 1, sequence(0, subs - 1), {own}))", "explode(if(role = 1, array(cast(pmod(xxhash64(id, 1), turns) as int)), sequence(0, turns - 1)))")
+        asked = split.join(largest, "block").select("id", "label", (F.col("label") != F.col("top")).cast("int").alias("ask"))
+        listed = durable(routes.join(asked, "id").selectExpr("gram", "id", "n", "label", "ask", "explode(array(size - 1, size)) as band"), "listed")
+        lists = listed.groupBy("gram", "band").agg(F.count("*").alias("texts"), F.sum("n").alias("grams"), F.sum("ask").alias("asks"), F.min("label").alias("low"), F.max("label").alias("high")).where("asks > 0 and low < high")
+        sizes = (F.ceil(F.greatest(F.col("grams") * 8 / BLOCK_BYTES, F.col("texts") / BLOCK_TEXTS)).cast("int").alias("subs"), F.ceil(F.col("asks") / BLOCK_TEXTS).cast("int").alias("turns"))
+        both = listed.join(lists.select("gram", "band", *sizes), ["gram", "band"]).select("id", F.xxhash64("gram", "band").alias("block"), "label", "subs", "turns", "ask")
+        both = durable(both.withColumn("role", F.explode(F.when(F.col("ask") == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("ask"), "both")
+        more = linked(both, both.select("id").distinct(), f"explode(if(role = 1, sequence(0, subs - 1), {own}))", "explode(if(role = 1, array(cast(pmod(xxhash64(id, 1), turns) as int)), sequence(0, turns - 1)))")
         found = components(durable(links.union(more), "links"))
     heads = classes.join(found, classes.rep == found.node, "left").select("n", "lo", "hi", F.coalesce("component", "rep").alias("component_id"))
     out = table.join(heads, ["n", "lo", "hi"], "left")

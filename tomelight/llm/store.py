@@ -54,11 +54,6 @@ def restrict(docs: DataFrame, ids: DataFrame, key: str, how: str = "left_semi")
     return docs.join(F.broadcast(ids) if small else ids, docs[key].eqNullSafe(ids["__id"]), how)
 
 
-def attach(docs: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """Inner join of docs with a durable table keyed by key; docs without a partner go before texts are shuffled."""
-    return restrict(docs, rows.select(key), key).join(rows, key)
-
-
 def shards(spark: SparkSession, size: float, target: float) -> int:
     """How many owners a quantity of `size` is dealt to, so that each gets about `target`."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size // target) + 1)
