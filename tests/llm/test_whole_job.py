@@ -25,6 +25,24 @@ def test_quality_reads_whole_texts(spark):
     assert np.mean([a > b for a in good for b in bad]) > 0.95
 
 
+def test_quality_of_repeated_rows_and_labels(spark):
+    rng = random.Random(9)
+    signs = [[f"{y}{k}sign" for k in range(60)] for y in "bg"]
+    text = lambda y: " ".join(rng.choices(signs[y], k=60))
+    found = [(k, text(k % 2), k % 2) for k in range(400)]
+    table = spark.createDataFrame([(k, t) for k, t, _ in found] * 3 + [(None, text(0)), (7, None)], "doc_id long, text string")
+    labels = [(k, y) for k, _, y in found] * 2 + [(10, 1), (11, 0), (None, 1), (3, None), (5000, 1)]  # 10 and 11 have both labels
+    model = fit_quality(table, spark.createDataFrame(labels, "doc_id long, quality int"))
+    taught = (model.good + b"\n" + model.bad).split(b"\n")
+    assert sorted(taught) == sorted(t.encode() for k, t, _ in found if k not in (10, 11))  # each row once
+    again = fit_quality(table.repartition(7), spark.createDataFrame(labels[::-1], "doc_id long, quality int").repartition(3))
+    assert (again.good, again.bad, again.weights) == (model.good, model.bad, model.weights)
+    x = score_quality(table.where("doc_id < 2"), model).collect()
+    assert all((r.quality_score > 0.5) == (r.doc_id % 2 == 1) for r in x) and len(x) == 6
+    plain = [model.score([r.text.encode()])[0] for r in x]  # by itself as in a batch
+    assert plain == [r.quality_score for r in x]
+
+
 def test_stages_decide_by_row(spark):
     rng = random.Random(4)
     text = lambda n=60: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +13,9 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .textkit import as_binary
 
-#: Labelled texts of each class that the classifier is fitted on, at most (those with the least hash of their id).
-SAMPLE = 3000
+#: Labelled rows of each class that the classifier is fitted on, at most (those with the least hash of their id), and
+#: bytes of their texts: whole texts are taken while they fit.
+SAMPLE, SAMPLE_BYTES = 3000, 32 << 20
 #: Texts much shorter than this many bytes are scored near the share of label 1.
 SHORT = 48
 #: Bytes that are compressed at a time; for more, zstandard copies the tables of the dictionary instead of reading them in place.
@@ -75,20 +77,26 @@ class QualityModel:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
-    """Fit on the whole of at most SAMPLE labelled texts of each class; rows without a label or text teach nothing.
+    """Fit on the whole of at most SAMPLE labelled texts and SAMPLE_BYTES of each class.
 
-    Sizes are compared by dictionaries of the other half of the sample, so that calibration never sees
-    a text that is in the dictionary; the final dictionaries hold both halves. With no labelled rows of
-    one class the score of every text is the share of label 1 (0.5 without any labels).
+    Rows without a label or text, and ids with both labels, teach nothing; copies of a row count once. Sizes are
+    compared by dictionaries of the other half of the sample, so that calibration never sees a text that is in the
+    dictionary; the final dictionaries hold both halves. With no labelled rows of one class the score of every text is
+    the share of label 1 (0.5 without any labels).
     """
     labels = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
-    count = {r.y: r.n for r in labels.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    prior = (count.get(1, 0) + 1) / (sum(count.values()) + 2)
+    labels = labels.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("high")).where("y = high").select("id", "y")
+    n = {r.y: r.n for r in labels.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    prior = (n.get(1, 0) + 1) / (sum(n.values()) + 2)
     sample = [labels.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(SAMPLE) for y in (0, 1)]
-    picked = sample[0].union(sample[1]).dropDuplicates(["id"])
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    rows = texts.join(F.broadcast(picked), "id").select("id", "text", "y").collect()  # 2 * SAMPLE rows at most
-    rows = sorted({(r.id, r.text, r.y) for r in rows})
+    found = texts.join(F.broadcast(sample[0].union(sample[1])), "id").withColumn("row", F.xxhash64("id", "text"))
+    sized = found.select("y", "row", F.octet_length("text").alias("bytes")).distinct()
+    keys = [[(r.row, r.bytes) for r in sized.where(F.col("y") == y).orderBy("row").limit(SAMPLE).collect()] for y in (0, 1)]  # numbers only
+    kept = [row for own in keys for (row, _), end in zip(own, accumulate(b for _, b in own), strict=True) if end <= SAMPLE_BYTES]
+    picked = docs.sparkSession.createDataFrame([(k,) for k in kept], "row long")
+    rows = found.join(F.broadcast(picked), "row").select("id", "text", "y").distinct().collect()  # 2 * SAMPLE rows and 2 * SAMPLE_BYTES at most
+    rows = sorted((r.id, r.text, r.y) for r in rows)
     halves = [[(t.encode("utf-8", "surrogatepass"), y) for k, (_, t, y) in enumerate(rows) if k % 2 == h] for h in (0, 1)]
     books = [[_dictionary([t for t, y in half if y == c]) for c in (1, 0)] for half in halves]
     x = np.concatenate([_evidence([t for t, _ in half], *books[1 - h]) for h, half in enumerate(halves) if half] or [np.zeros((0, 2))])
