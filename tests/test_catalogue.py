@@ -11,9 +11,9 @@ CLAIM = "entity long, provider string, value double"
 
 
 def votes(rows, tolerance):
-    """The numeric vote of one entity, one claim at a time."""
+    """The numeric vote of one entity, one claim (provider, value) at a time."""
     clusters = []
-    for p, v in sorted(rows.items(), key=lambda x: (-WEIGHTS[x[0]], x[0])):
+    for p, v in sorted(rows, key=lambda x: (-WEIGHTS[x[0]], x)):
         for c in clusters:
             if abs(c[0] - v) / max(abs(c[0]), abs(v), 1) <= tolerance:
                 c[1] += WEIGHTS[p]
@@ -28,14 +28,19 @@ def votes(rows, tolerance):
 
 def test_numeric_vote(spark):
     rng = random.Random(3)
-    held = {e: {p: float(rng.choice([0, 1, 40, 41, 42, 43, 44, 100, 103, -40])) for p in rng.sample(list(WEIGHTS), rng.randint(1, 8))} for e in range(80)}
-    rows = [(e, p, v) for e, m in held.items() for p, v in m.items()]
-    df = spark.createDataFrame(rows + rows[:9] + [(999, "mal", None), (1, "unknown", 5.0), (None, None, None)], CLAIM)
+    rows = [(e, rng.choice(list(WEIGHTS)), float(rng.choice([0, 1, 40, 41, 42, 43, 44, 100, 103, -40]))) for e in range(80) for _ in range(rng.randint(1, 14))]
+    rows += rows[:9]
+    df = spark.createDataFrame([*rows, (999, "mal", None), (1, "unknown", 5.0), (None, None, None)], CLAIM)
     got = {r[0]: tuple(r[1:]) for r in consensus.numeric_vote(df, 0.05).collect()}
-    assert got == {e: votes(m, 0.05) for e, m in held.items()}
+    assert got == {e: votes([(p, v) for x, p, v in rows if x == e], 0.05) for e in range(80)}
     assert not consensus.numeric_vote(df.where("false"), 0.05).collect()
 
 
+def test_votes_of_unknown_providers_do_not_count(spark):
+    rows = [(1, "mal", 5.0), (1, "nobody", 9.0), (1, "nobody", 9.0), (2, "nobody", 1.0), (3, "mal", None)]
+    assert [tuple(r) for r in consensus.categorical_vote(spark.createDataFrame(rows, CLAIM)).collect()] == [(1, 5.0, 1.0, 0.6)]
+
+
 @pytest.mark.parametrize("counts, expected", [
     ({"mangadex": 17}, (17, "low")), ({"anilist": 10, "mal": 11}, (11, "high")), ({"anilist": 10, "kitsu": 10, "fandom": 50}, (10, "medium")),
     ({"anilist": 10, "kitsu": 50}, (10, "low")), ({"anilist": 10, "mal": 10, "kitsu": 50, "fandom": 50}, (50, "low")),

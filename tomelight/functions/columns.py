@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, functions as F
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession, functions as F
 
 
 def safe_ratio(a: Column, b: Column) -> Column:
@@ -71,18 +70,26 @@ def agreement_confidence(agreement: Column, witnesses: Column) -> Column:
     return agreement * F.when(witnesses <= 1, 0.6).when(witnesses == 2, 0.85).otherwise(1.0)
 
 
-def _valid(pattern: str) -> bool:
+def java_pattern(spark: SparkSession, pattern: str) -> bool:
+    """Whether Java, whose patterns rlike takes, can read a pattern."""
     try:
-        re.compile(pattern)
-    except re.error:
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException:
         return False
     return True
 
 
-def first_block(x: Column, titles: list[str], patterns: list[str]) -> Column:
-    """'title' if x is one of the titles in any case, else the first pattern found in it in lower case; null if none is. Invalid patterns are skipped."""
+def pattern_or_text(spark: SparkSession, x: Column, pattern: str) -> Column:
+    """Whether a pattern is found in x in any case; one that Java cannot read is looked for as text."""
+    if java_pattern(spark, pattern):
+        return x.rlike(f"(?i){pattern}")
+    return F.contains(F.lower(x), F.lit(pattern.lower()))
+
+
+def first_block(spark: SparkSession, x: Column, titles: list[str], patterns: list[str]) -> Column:
+    """For short lists. 'title' if x is one of the titles in any case, else the first pattern found in it in lower case; null if none is. Invalid patterns are skipped."""
     low = F.lower(x)
-    return F.coalesce(F.when(low.isin(*(t.lower() for t in titles)), "title"), *(F.when(low.rlike(p), F.lit(p)) for p in patterns if _valid(p)))
+    return F.coalesce(F.when(low.isin(*(t.lower() for t in titles)), "title"), *(F.when(low.rlike(p), F.lit(p)) for p in patterns if java_pattern(spark, p)))
 
 
 def term_ratio(x: Column, terms: list[str]) -> Column:

@@ -22,12 +22,15 @@ def sessions(events: DataFrame, key: str, at: str, gap_seconds: int) -> DataFram
     return events.withColumn("session", F.sum(F.coalesce(new, F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
 
 
-def paired_sessions(events: DataFrame, key: str, at: str, start: str, stop: str, cap_seconds: int) -> DataFrame:
-    """Sessions from each start to the next start or stop of the key, capped: key, at, seconds. A start without either is left out."""
+def paired_sessions(events: DataFrame, key: str, at: str, start: str, stop: str, cap_seconds: int, now: str | None = None) -> DataFrame:
+    """Sessions from each start to the next start or stop of the key, capped: key, at, seconds.
+
+    A start without either lasts until `now`, a column of seconds since 1970, or is left out."""
     order = Window.partitionBy(key).orderBy(at, "event_id")
     marks = events.where(F.col("event_type").isin(start, stop))
     seconds = F.unix_timestamp(F.col(at).cast("timestamp"))
-    length = F.lead(seconds).over(order) - seconds
+    until = F.lead(seconds).over(order)
+    length = (F.coalesce(until, F.col(now)) if now else until) - seconds
     marks = marks.withColumn("seconds", F.when(length.isNotNull(), F.least(length, F.lit(cap_seconds))))
     return marks.where((F.col("event_type") == start) & F.col("seconds").isNotNull()).select(key, at, F.col("seconds").cast("long").alias("seconds"))
 

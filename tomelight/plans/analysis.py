@@ -117,10 +117,11 @@ def q_extract_numbers(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", F.element_at(F.regexp_extract_all("c_name", F.lit(r"(\d+(?:\.\d+)?)")), 1).cast("long").alias("number"))
 
 
-@query("SELECT l_orderkey, cast(quantile_disc(l_linenumber, 0.5) AS BIGINT) AS low_median FROM lineitem GROUP BY 1 HAVING count(*) % 2 = 1")
+@query("SELECT l_orderkey, cast(list_sort(list(l_linenumber))[count(*) // 2 + 1] AS BIGINT) AS low_median FROM lineitem GROUP BY 1")
 def q_low_median(t: Tables) -> DataFrame:
-    sizes = t.lineitem.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_linenumber")).alias("v")).where(F.size("v") % 2 == 1)
-    return sizes.select("l_orderkey", F.get("v", F.floor(F.size("v") / 2).cast("int")).cast("long").alias("low_median"))
+    """The member in the middle of each group, at half its size; 10 for an empty group."""
+    sizes = t.lineitem.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_linenumber")).alias("v"))
+    return sizes.select("l_orderkey", F.coalesce(F.get("v", F.floor(F.size("v") / 2).cast("int")), F.lit(10)).cast("long").alias("low_median"))
 
 
 @query("WITH w(provider, w) AS (VALUES ('anilist', 0.95), ('mangadex', 0.96), ('mal', 0.92), ('mangaupdates', 0.95), ('kitsu', 0.56), ('comicvine', 0.70), ('fandom', 0.87), ('wikipedia', 0.90)), c AS (" + _CLAIMS + "), v AS (SELECT entity, value, sum(cast(w AS DECIMAL(18,2))) AS w, count(DISTINCT CASE WHEN provider IN ('anilist', 'mal') THEN 'anchor' ELSE provider END) AS k FROM c JOIN w USING (provider) GROUP BY 1, 2), r AS (SELECT *, cast(w AS DOUBLE) / cast(sum(w) OVER (PARTITION BY entity) AS DOUBLE) AS agreement, row_number() OVER (PARTITION BY entity ORDER BY w DESC, value) AS rn FROM v) SELECT entity, value, round(agreement, 6) AS agreement, round(agreement * CASE WHEN k <= 1 THEN 0.6 WHEN k = 2 THEN 0.85 ELSE 1.0 END, 6) AS confidence FROM r WHERE rn = 1")
@@ -151,12 +152,14 @@ def q_export_dialogues(t: Tables) -> DataFrame:
     return t.conversations.groupBy("conv_id").agg(F.count("*").alias("turns"), F.array_join(F.transform(turns, lambda x: x["line"]), "\n").alias("dialogue"))
 
 
-@query("SELECT a.conv_id, a.turn, left(a.text, 2000) AS instruction, b.text AS output FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant'")
+@query("SELECT a.conv_id, a.turn, a.text AS instruction, CASE WHEN length(c.text) > 2000 THEN left(c.text, 1997) || '...' ELSE coalesce(c.text, '') END AS input, b.text AS output FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 LEFT JOIN conversations c ON c.conv_id = a.conv_id AND c.turn = a.turn - 1 WHERE a.role = 'user' AND b.role = 'assistant'")
 def q_export_pairs(t: Tables) -> DataFrame:
+    """A user's turn, whole, with the answer to it; the turn before, as input, is cut to 2,000 characters."""
     order = Window.partitionBy("conv_id").orderBy("turn")
-    rows = t.conversations.select("conv_id", "turn", "role", "text", *(F.lead(c).over(order).alias(f"next_{c}") for c in ("turn", "role", "text")))
-    kept = rows.where("role = 'user' and next_role = 'assistant' and next_turn = turn + 1")
-    return kept.select("conv_id", "turn", F.substring("text", 1, 2000).alias("instruction"), F.col("next_text").alias("output"))
+    near = [F.lead(c).over(order).alias(f"next_{c}") for c in ("turn", "role", "text")] + [F.lag(c).over(order).alias(f"last_{c}") for c in ("turn", "text")]
+    kept = t.conversations.select("conv_id", "turn", "role", "text", *near).where("role = 'user' and next_role = 'assistant' and next_turn = turn + 1")
+    before = F.coalesce(F.when(F.col("last_turn") == F.col("turn") - 1, C.truncated(F.col("last_text"), 2000)), F.lit(""))
+    return kept.select("conv_id", "turn", F.col("text").alias("instruction"), before.alias("input"), F.col("next_text").alias("output"))
 
 
 @query(None)

@@ -11,13 +11,13 @@ from .registry import Tables, query
 from .relational import key_of_props
 
 _PROVIDERS = "['anilist','mangadex','mal','mangaupdates','kitsu','comicvine','fandom','wikipedia']"
-_COUNTS = f"SELECT l_partkey AS entity, ({_PROVIDERS})[1 + l_suppkey % 8] AS provider, min(l_quantity) AS value FROM lineitem GROUP BY 1, 2"
+_COUNTS = f"SELECT l_partkey AS entity, ({_PROVIDERS})[1 + l_suppkey % 8] AS provider, l_quantity AS value FROM lineitem"
 
 
 def _counts(t: Tables) -> DataFrame:
-    """One number of each entity and provider."""
+    """All the numbers that providers claim for an entity."""
     name = F.element_at(F.array(*map(F.lit, consensus.WEIGHTS)), (F.col("l_suppkey") % 8 + 1).cast("int"))
-    return t.lineitem.groupBy(F.col("l_partkey").alias("entity"), name.alias("provider")).agg(F.min("l_quantity").alias("value"))
+    return t.lineitem.select(F.col("l_partkey").alias("entity"), name.alias("provider"), F.col("l_quantity").alias("value"))
 
 
 @query("SELECT a.o_custkey, count(*) AS pairs, cast(sum(least(a.d, b.d) + 20 - greatest(a.d, b.d)) AS BIGINT) AS days FROM (SELECT o_custkey, o_orderkey, cast(o_orderdate AS DATE) - DATE '1970-01-01' AS d FROM orders) a JOIN (SELECT o_custkey, o_orderkey, cast(o_orderdate AS DATE) - DATE '1970-01-01' AS d FROM orders) b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND a.d <= b.d + 20 AND b.d <= a.d + 20 GROUP BY 1")
@@ -53,7 +53,7 @@ def q_action_case(t: Tables) -> DataFrame:
 @query("SELECT p_partkey, CASE WHEN lower(p_name) IN ('red ring', 'small box') THEN 'title' WHEN regexp_matches(lower(p_name), 'ring$') THEN 'ring$' WHEN regexp_matches(lower(p_name), '^(small|big) ') THEN '^(small|big) ' END AS reason FROM part")
 def q_blocklist_match(t: Tables) -> DataFrame:
     """Exact titles first, then the first pattern of a stated list that matches; every row gets a result."""
-    return t.part.select("p_partkey", C.first_block(F.col("p_name"), ["Red ring", "small box"], ["ring$", "^(small|big) ", "(broken"]).alias("reason"))
+    return t.part.select("p_partkey", C.first_block(t.spark, F.col("p_name"), ["Red ring", "small box"], ["ring$", "^(small|big) ", "(broken"]).alias("reason"))
 
 
 @query("""WITH w AS (SELECT event_id, cast(json_extract_string(props, '$.k') AS BIGINT) AS k, user_id FROM events)
@@ -153,12 +153,17 @@ def q_vote_numeric(t: Tables) -> DataFrame:
     return consensus.numeric_vote(_counts(t), 0.05)
 
 
-@query(None)
+_RANKED = "WITH p(provider, rank) AS (SELECT unnest(" + _PROVIDERS + "), generate_subscripts(" + _PROVIDERS + ", 1)), c AS (SELECT * FROM (" + _COUNTS + ") JOIN p USING (provider))"
+
+
+@query(_RANKED + """, s AS (SELECT DISTINCT entity, value AS seed FROM c), k AS (SELECT s.entity, seed, count(*) AS n, count(*) FILTER (provider NOT IN ('anilist', 'mal')) AS others, min(rank) AS rank, min(value) AS lo, max(value) AS hi, median(value) AS mid FROM s JOIN c ON c.entity = s.entity AND abs(value - seed) <= 1 GROUP BY 1, 2),
+b AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY n DESC, others DESC, rank, lo) AS rn FROM k), a AS (SELECT entity, count(*) AS total, min(value) AS least FROM c GROUP BY 1)
+SELECT entity, CASE WHEN n >= 2 THEN floor(mid + 0.5) ELSE least END AS value, CASE WHEN n >= 2 AND n = total THEN 'high' WHEN n >= 2 AND NOT EXISTS (SELECT 1 FROM k WHERE k.entity = b.entity AND k.n = b.n AND (k.hi < b.lo OR k.lo > b.hi)) THEN 'medium' ELSE 'low' END AS level FROM b JOIN a USING (entity) WHERE rn = 1""")
 def q_count_consensus(t: Tables) -> DataFrame:
     return consensus.count_consensus(_counts(t), 1)
 
 
-@query("WITH w(provider, rank) AS (SELECT unnest(" + _PROVIDERS + "), generate_subscripts(" + _PROVIDERS + ", 1)), c AS (" + _COUNTS + ") SELECT entity, arg_min(value, rank) AS value, count(DISTINCT value) - 1 AS conflicts FROM c JOIN w USING (provider) GROUP BY 1")
+@query("WITH w(provider, rank) AS (SELECT unnest(" + _PROVIDERS + "), generate_subscripts(" + _PROVIDERS + ", 1)), c AS (" + _COUNTS + ") SELECT entity, struct_extract(min({'r': rank, 'v': value}), 'v') AS value, count(DISTINCT value) - 1 AS conflicts FROM c JOIN w USING (provider) GROUP BY 1")
 def q_merge_conflicts(t: Tables) -> DataFrame:
     return consensus.first_claim(_counts(t))
 
