@@ -6,7 +6,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from tomelight.plans import analysis, catalogue, curation, relational, text, titles  # noqa: F401
+from tomelight.plans import analysis, catalogue, curation, relational, structure, text, titles  # noqa: F401
 from tomelight.plans.registry import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"

@@ -116,3 +116,64 @@ def cjk_tokens(x: Column) -> Column:
 def token_type(x: Column) -> Column:
     """cjk, number, word or mixed."""
     return F.when(x.rlike(rf"^[{CJK}]$"), "cjk").when(x.rlike(r"^\d+(?:[.,]\d+)?$"), "number").when(x.rlike(r"^\p{L}+$"), "word").otherwise("mixed")
+
+
+def match_confidence(text: Column, name: Column) -> Column:
+    """1 for equal strings, 0.9 if the words of name stand in text one after the other, 0.7 if it is part of text, else 0."""
+    padded = lambda x: F.concat(F.lit(" "), x, F.lit(" "))
+    return F.when(F.trim(text) == name, 1.0).when(F.contains(padded(text), padded(name)), 0.9).when(F.contains(text, name), 0.7).otherwise(0.0)
+
+
+# Words that a release may add to a title.
+QUALIFIERS = ("deluxe", "part", "omnibus", "digital")
+#: Accepted titles of one word of more characters than this are told from others by their length alone.
+SHORT_NAME = 12
+
+
+def foreign(words: Column, accepted: Column) -> Column:
+    """Whether a release's words reject it: no accepted title (an array of words each) passes.
+
+    A title of several words, or of one long word, passes; one short word allows only itself and qualifiers beside it."""
+    extra = lambda title: F.size(F.filter(words, lambda w: ~F.array_contains(title, w) & ~w.isin(*QUALIFIERS)))
+    passes = lambda title: (F.size(F.array_distinct(title)) != 1) | (F.length(F.get(title, F.lit(0))) > SHORT_NAME) | (extra(title) == 0)
+    return (F.size(words) > 0) & (F.size(accepted) > 0) & ~F.exists(accepted, passes)
+
+
+# Ranges and single numbers of volumes and chapters in release titles, and signs of audio and video.
+VOLUME_SPANS = (r"第\s*(\d{1,3})\s*[-–—~〜]\s*(\d{1,3})\s*巻", r"(?i)v(\d{1,3})\s*[-~]\s*v?(\d{1,3})", r"(?i)vol\.?\s*(\d{1,3})\s*[-~]\s*(?:vol\.?\s*)?(\d{1,3})", r"(?i)\btomes?\s+(\d{1,3})\s+(?:[àa]|&agrave;)\s+(\d{1,3})\b")
+VOLUME_ONES = (r"第\s*(\d{1,3})\s*巻", r"(?i)\bv(\d{1,3})\b", r"(?i)\bvol\.?\s*(\d{1,3})\b")
+CHAPTER_SPANS = (r"(?i)\bc(\d{1,4})\s*[-~]\s*c?(\d{1,4})(?:\.\d+)?\b", r"(?i)\bch\.?\s*(\d{1,4})\s*[-~]\s*(?:ch\.?\s*)?(\d{1,4})(?:\.\d+)?\b", r"(?i)\bchapters?\s*(\d{1,4})\s*[-~]\s*(\d{1,4})(?:\.\d+)?\b", r"第\s*(\d{1,4})\s*[-–—~〜]\s*(\d{1,4})\s*話")
+CHAPTER_ONES = (r"(?i)\bc(\d{1,4})\b", r"(?i)\bch\.?\s*(\d{1,4})\b", r"(?i)\bchapter\s*(\d{1,4})\b", r"第\s*(\d{1,4})\s*話")
+BARE_SPANS = (r"\(\s*(0\d{2,3}|\d{3,4})\s*[-~]\s*(\d{2,4})(?:\.\d+)?\s*\)", r"\[\s*(0\d{2,3}|\d{3,4})\s*[-~]\s*(\d{2,4})(?:\.\d+)?\s*\]", r"(?:^|[\s_])(0\d{2,3}|\d{3,4})\s*[-~]\s*(\d{2,4})(?:\.\d+)?(?=[\s_({}\[\].]|$)")
+OTHER_MEDIA = (r"(?i)\bseason\s+\d+\b", r"(?i)\bs\d{1,2}\s*[-~]\s*s\d{1,2}\b", r"(?i)\bs\d{1,2}e\d{1,3}\b", r"(?i)\bepisodes?\s+\d+", r"(?i)\b\d{2,3}p\b", r"(?i)\bost\b", r"(?i)\boriginal\s+soundtrack\b", r"(?i)\bmp3\b", r"(?i)\bflac\b")
+
+
+def release_coverage(x: Column) -> Column:
+    """struct(volumes, chapters) that a release title covers, each an array of numbers; both empty for audio and video.
+
+    The first pattern of a range that matches, else the first of a single number; chapters also by a bare range in
+    brackets or between blanks that is no pair of years. A reversed range covers nothing."""
+    none = F.array().cast("array<int>")
+    number = lambda s: s.try_cast("int")
+
+    def span(a: Column, b: Column) -> Column:
+        return F.when(a <= b, F.sequence(a, b)).otherwise(none)
+
+    def first(spans: tuple, ones: tuple, otherwise: Column) -> Column:
+        ranges = [F.when(found(x, p, 1).isNotNull(), span(number(found(x, p, 1)), number(found(x, p, 2)))) for p in spans]
+        return F.coalesce(*ranges, *(F.when(found(x, p).isNotNull(), F.array(number(found(x, p)))) for p in ones), otherwise)
+
+    pairs = F.flatten(F.array(*(F.arrays_zip(*(F.transform(F.regexp_extract_all(x, F.lit(p), F.lit(g)), number).alias(n) for g, n in ((1, "a"), (2, "b")))) for p in (BARE_SPANS[0], BARE_SPANS[1], BARE_SPANS[2]))))
+    pair = F.get(F.filter(pairs, lambda q: ~(q["a"].between(1900, 2099) & q["b"].between(1900, 2099))), F.lit(0))
+    chapters = first(CHAPTER_SPANS, CHAPTER_ONES, F.when(pair.isNotNull(), span(pair["a"], pair["b"])).otherwise(none))
+    other = F.lit(False)
+    for p in OTHER_MEDIA:
+        other = other | x.rlike(ascii_edges(p))
+    pick = lambda c: F.when(other, none).otherwise(c)
+    return F.struct(pick(first(VOLUME_SPANS, VOLUME_ONES, none)).alias("volumes"), pick(chapters).alias("chapters"))
+
+
+def likely_english(x: Column, lang: Column) -> Column:
+    """Text that is declared as English or not at all, without accents of other languages and CJK characters."""
+    foreign_signs = x.rlike("(?iu)[àâãäåçéèêëìíîïñòóôõöùúûüýÿœæ]") | x.rlike(r"[\x{3000}-\x{9fff}\x{ac00}-\x{d7af}]")
+    return (F.coalesce(x, F.lit("")) != "") & (F.coalesce(lang, F.lit("en")) == "en") & ~foreign_signs

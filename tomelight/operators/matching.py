@@ -78,3 +78,20 @@ def fuzzy_duplicates(new: DataFrame, known: DataFrame, least: float) -> DataFram
     like = new.join(pairs, "title").join(other.select("name", "id"), "name").select("path", "id", "score")
     rank = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("score"), "id"))
     return same.union(like).withColumn("rn", rank).where("rn = 1").select("path", "id", F.least(F.round("score", 6), F.lit(1.0)).alias("score"))
+
+
+def multi_signal_match(asked: DataFrame, names: DataFrame, least: float = 0.4) -> DataFrame:
+    """asked, id, score: the best entity by Dice coefficient, ratio of lengths, closeness of counts and of years.
+
+    asked: asked, chapters, year; names: id, name, chapters, year; unknown counts and years do not weigh. Ties: the
+    smaller difference of lengths, then id."""
+    pairs = dice_pairs(asked, names, "asked", "name")
+    a, b = asked.select("asked", F.col("chapters").alias("c"), F.col("year").alias("y")), names.select("id", "name", "chapters", "year")
+    rows = pairs.join(a, "asked").join(b, "name")
+    x, y = F.length("asked"), F.length("name")
+    close = F.when((F.col("c") > 0) & (F.col("chapters") > 0), 0.7 + 0.3 * F.least("c", "chapters") / F.greatest("c", "chapters")).otherwise(1.0)
+    gap = F.abs(F.col("y") - F.col("year"))
+    years = F.when(gap.isNull(), 1.0).when(gap == 0, 1.15).when(gap <= 2, 1.0).otherwise(0.8)
+    rows = rows.withColumn("score", F.round(F.col("dice") * F.least(x, y) / F.greatest(x, y) * close * years, 6)).where(F.col("score") >= least)
+    rank = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), F.abs(x - y), "id"))
+    return rows.withColumn("rn", rank).where("rn = 1").select("asked", "id", "score")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tomelight.functions import columns as C
-from tomelight.operators import consensus, relational as R, sequences as S
+from tomelight.operators import matching as M, consensus, relational as R, sequences as S
 
 from .registry import Tables, query
 
@@ -90,11 +90,13 @@ def q_ngram_jaccard(t: Tables) -> DataFrame:
     return names.select("a", F.round(C.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
 
 
-@query(None)
+@query("""WITH n AS (SELECT DISTINCT p_name AS a FROM part), g AS (SELECT a, g, count(*) AS n FROM (SELECT a, unnest(list_transform(generate_series(1, length(a) - 1), lambda k: substr(a, k, 2))) AS g FROM n) GROUP BY 1, 2),
+s AS (SELECT x.a, y.a AS b, sum(least(x.n, y.n)) AS shared FROM g x JOIN g y ON x.g = y.g AND x.a < y.a GROUP BY 1, 2) SELECT a, b, round(2 * shared / (length(a) + length(b) - 2), 6) AS dice FROM s""")
 def q_dice(t: Tables) -> DataFrame:
-    least = t.part.agg(F.min("p_name").alias("b"))
-    names = t.part.select(F.col("p_name").alias("a")).distinct().crossJoin(F.broadcast(least))
-    return names.select("a", F.round(C.dice(F.col("a"), F.col("b")), 6).alias("dice"))
+    """Pairs of different names with a common bigram; all others have 0."""
+    names = t.part.select(F.col("p_name").alias("a")).distinct()
+    pairs = M.dice_pairs(names, names.select(F.col("a").alias("b")), "a", "b").where("a < b")
+    return pairs.select("a", "b", F.round("dice", 6).alias("dice"))
 
 
 @query("SELECT c_custkey, substr(sha256(c_name), 1, 16) AS alias FROM customer")

@@ -16,10 +16,13 @@ def q_html_meta(t: Tables) -> DataFrame:
     return t.pages.select("page_id", X.page_meta("html").alias("m")).select("page_id", "m.*")
 
 
-@query("SELECT page_id, CASE WHEN regexp_matches(html, '(?i)<script') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(html, '(?i)javascript:') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(html, '(?i)<iframe') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(html, '(?i)\\son\\w+\\s*=') THEN 1 ELSE 0 END AS dangers FROM pages")
+# Signs of dangerous HTML.
+_DANGERS = (r"(?i)<script[\s>]", r"(?i)javascript:", r"(?i)on\w+\s*=", r"(?i)<iframe[\s>]", r"(?i)<object[\s>]", r"(?i)<embed[\s>]", r"(?i)<form[\s>]", r"(?i)data:text/html", r"(?is)<svg[\s>].*<script")
+
+
+@query("SELECT page_id, " + " + ".join(f"cast(regexp_matches(html, '{p}') AS INTEGER)" for p in _DANGERS) + " AS dangers FROM pages")
 def q_dangerous_html(t: Tables) -> DataFrame:
-    signs = ("(?i)<script", "(?i)javascript:", "(?i)<iframe", r"(?i)\son\w+\s*=")
-    return t.pages.select("page_id", sum((F.col("html").rlike(p).cast("int") for p in signs), F.lit(0)).alias("dangers"))
+    return t.pages.select("page_id", sum((F.col("html").rlike(p).cast("int") for p in _DANGERS), F.lit(0)).alias("dangers"))
 
 
 @query(None)
@@ -27,7 +30,7 @@ def q_sentence_split(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.posexplode(X.sentences("text")).alias("k", "sentence"))
 
 
-@query(None)
+@query("SELECT p_partkey, regexp_replace(lower(strip_accents(p_name)), '[^a-z0-9]', '', 'g') AS key FROM part")
 def q_title_keys(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", X.title_key("p_name").alias("key"))
 
@@ -109,6 +112,7 @@ def q_window_counts(t: Tables) -> DataFrame:
     return E.window_counts(t.events, "event_type", "ts", "1 hour", "1 hour")
 
 
-@query(None)
+@query("""WITH g AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 2 HOUR AS new FROM events), s AS (SELECT *, sum(coalesce(cast(new AS INTEGER), 0)) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
 def q_session_windows(t: Tables) -> DataFrame:
     return E.session_counts(t.events, "user_id", "ts", "2 hours", "1 hour")

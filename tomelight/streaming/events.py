@@ -29,22 +29,57 @@ def session_counts(events: DataFrame, key: str, at: str, gap: str, late: str) ->
     return _marked(events, at, late).groupBy(key, F.session_window(at, gap).alias("s")).agg(F.count("*").alias("n")).select(key, F.col("s.start").cast("timestamp_ntz").alias("start"), F.col("s.end").cast("timestamp_ntz").alias("end"), "n")
 
 
+def _admitted(times, capacity: float, per_second: float, tokens: float, last: float | None) -> tuple[list[bool], float, float | None]:
+    """Which of some sorted times (seconds) find a token, and the bucket after them; last is None for a bucket never used."""
+    out = []
+    for t in times:
+        tokens = capacity if last is None else min(capacity, tokens + max(0.0, t - last) * per_second)
+        last = t if last is None else max(last, t)
+        out.append(tokens >= 1)
+        tokens -= out[-1]
+    return out, tokens, last
+
+
+def _seconds(x: pd.Series) -> pd.Series:
+    return x.astype("datetime64[us]").astype("int64") / 1e6
+
+
 def token_bucket(events: DataFrame, key: str, at: str, capacity: float, per_second: float) -> DataFrame:
     """events (key, at, event_id) with `admitted`: each takes a token of its key's bucket, which refills over time.
 
     State is two numbers a key. Within a micro-batch a key's events are taken in order of time and id."""
 
     def admit(name, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tokens, last = state.get if state.exists else (capacity, 0.0)
-        rows = pd.concat(list(batches)).sort_values([at, "event_id"])
-        admitted = []
-        for t in rows[at].astype("datetime64[us]").astype("int64") / 1e6:
-            tokens = min(capacity, tokens + max(0.0, t - last) * per_second) if last else capacity
-            last = max(last, t)
-            admitted.append(tokens >= 1)
-            tokens -= admitted[-1]
+        tokens, last = state.get if state.exists else (capacity, None)
+        rows = pd.concat(list(batches)).sort_values([at, "event_id"])  # a key's events of one micro-batch
+        admitted, tokens, last = _admitted(_seconds(rows[at]), capacity, per_second, tokens, last)
         state.update((tokens, last))
         yield pd.DataFrame({key: rows[key], "event_id": rows["event_id"], "admitted": admitted})
 
     kind = events.schema[key].dataType.simpleString()
     return events.groupBy(key).applyInPandasWithState(admit, f"{key} {kind}, event_id long, admitted boolean", "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
+
+
+def token_bucket_batch(events: DataFrame, key: str, at: str, capacity: float, per_second: float) -> DataFrame:
+    """As token_bucket over a table: partitions of keys, sorted by time, are read in batches, and only the open bucket is held."""
+    kind = events.schema[key].dataType.simpleString()
+
+    def admit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_key, tokens, last = None, capacity, None
+        for rows in batches:
+            out = []
+            for name, own in rows.groupby(key, sort=False):
+                if open_key is None or name != open_key:
+                    open_key, tokens, last = name, capacity, None
+                admitted, tokens, last = _admitted(_seconds(own[at]), capacity, per_second, tokens, last)
+                out.append(pd.DataFrame({key: own[key], "event_id": own["event_id"], "admitted": admitted}))
+            if out:
+                yield pd.concat(out)
+
+    rows = events.where(F.col(key).isNotNull()).select(key, "event_id", at)
+    return rows.repartition(key).sortWithinPartitions(key, at, "event_id").mapInPandas(admit, f"{key} {kind}, event_id long, admitted boolean")
+
+
+def jsonl_sink(stream: DataFrame, folder: str, checkpoint: str):
+    """Starts a query that appends a stream to a folder as lines of JSON, each row once; ends when what is there has been read."""
+    return stream.writeStream.format("json").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(folder)
