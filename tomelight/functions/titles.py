@@ -177,3 +177,25 @@ def likely_english(x: Column, lang: Column) -> Column:
     """Text that is declared as English or not at all, without accents of other languages and CJK characters."""
     foreign_signs = x.rlike("(?iu)[àâãäåçéèêëìíîïñòóôõöùúûüýÿœæ]") | x.rlike(r"[\x{3000}-\x{9fff}\x{ac00}-\x{d7af}]")
     return (F.coalesce(x, F.lit("")) != "") & (F.coalesce(lang, F.lit("en")) == "en") & ~foreign_signs
+
+
+# Markers of an entry in a list of links, and numbers in front that are pages, dates or ISBNs.
+MARKERS = (rf"(?i)\bchapter\s*({NUMBER})", rf"(?i)\bch\.?\s*({NUMBER})")
+MARKED_PREQUEL = r"(?i)\bchapter\s*0+-(\d+)"
+_MONTH = "(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+NO_ENTRY = (r"(?i)^\d[\d,]*\s*(?:pages?|pp?\.)(?:[^a-z]|$)", rf"(?i)^\d{{1,2}}(?:st|nd|rd|th)?\s+(?:of\s+)?{_MONTH}\b\.?,?\s*(?:(?:19|20)\d{{2}}\b|$)", r"^(?:19|20)\d{2}[-/.]\d{1,2}(?:[-/.]\d{1,2})?(?:\D|$)", r"^\d{1,2}/\d{1,2}/\d{2,4}(?:\D|$)", r"^\d{1,2}\.\d{1,2}\.(?:19|20)\d{2}(?:\D|$)", r"^\d{1,5}[-‐-―]\d{1,7}[-‐-―]\d{1,7}")
+ISBN = r"(?i)\bISBN\b|\b97[89][-‐-―\s]?\d{1,5}[-‐-―\s]?\d{2,7}"
+IN_FRONT = (r"^(\d+)[\s:.\-–—]", r"^(\d+)$")
+
+
+def listed_number(x: Column) -> Column:
+    """The number of an entry in a list of links: an explicit marker, else a bare number in front that is no date, page count or ISBN."""
+    plausible = lambda n: F.when((n >= 0) & (n < 10_000), n)
+    minor = lambda p: F.concat(F.lit("0."), found(x, p)).try_cast("double")
+    marked = F.coalesce(found(x, MARKED_PREQUEL), *(found(x, p) for p in MARKERS)).isNotNull()
+    explicit = F.coalesce(minor(MARKED_PREQUEL), F.coalesce(*(found(x, p) for p in MARKERS)).try_cast("double"))
+    other = x.rlike(ascii_edges(ISBN))
+    for p in NO_ENTRY:
+        other = other | x.rlike(ascii_edges(p))
+    bare = F.coalesce(*(minor(p) for p in PREQUEL[1:]), F.coalesce(*(found(x, p) for p in IN_FRONT)).try_cast("double"))
+    return F.when(marked & plausible(explicit).isNotNull(), explicit).when(~other, plausible(bare))

@@ -66,12 +66,13 @@ def numeric_vote(claims: DataFrame, tolerance: float) -> DataFrame:
     return found.select("entity", F.col("best.first").alias("value"), F.round("best.weight", 6).alias("weight"), F.col("best.size").alias("size"), F.round(confidence, 6).alias("confidence"))
 
 
-def count_consensus(claims: DataFrame, window: int) -> DataFrame:
+def count_consensus(claims: DataFrame, window: int, least: bool = False) -> DataFrame:
     """claims (entity, provider, value) to entity, value, level: the median (halves up) of the largest cluster of counts.
 
     A cluster is the counts within `window` of one of them. Ties: members that are no anchor, then the first provider in
     the list of weights, then the least count. All counts in one cluster: high; two or more: medium, but low against a
-    rival of equal size that shares none; no cluster of two: low, with the least count."""
+    rival of equal size that shares none; no cluster of two: low, with the least count. With `least`, the result is the
+    least count of the cluster where that is below its median."""
     row = F.transform("claims", lambda c: F.struct(c["value"].alias("v"), c["w"]["rank"].alias("rank"), c["provider"].alias("p"), c["n"].alias("n")))
     rows = _claims(claims).select("entity", F.array_sort(row).alias("xs"))
     count = lambda g: F.aggregate(g, F.lit(0).cast("long"), lambda s, x: s + x["n"])
@@ -87,6 +88,7 @@ def count_consensus(claims: DataFrame, window: int) -> DataFrame:
         return F.aggregate("g", none, step)["v"]
 
     median = F.floor((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2 + 0.5)
+    median = F.least(median, at(F.lit(0))) if least else median
     level = F.when((F.col("n") >= 2) & (F.col("n") == count(F.col("xs"))), "high").when((F.col("n") >= 2) & ~rival, "medium").otherwise("low")
     return rows.select("entity", F.when(F.col("n") >= 2, median).otherwise(F.col("xs")[0]["v"]).cast("double").alias("value"), level.alias("level"))
 
@@ -104,3 +106,12 @@ def list_vote(claims: DataFrame, most: int) -> DataFrame:
     every = Window.partitionBy("entity")
     votes = votes.withColumns({"share": F.col("votes") / F.sum("votes").over(every), "rn": F.row_number().over(every.orderBy(F.desc("votes"), "value"))})
     return votes.where(F.col("rn") <= most).select("entity", "value", "share")
+
+
+def weighted_items(claims: DataFrame, most: int) -> DataFrame:
+    """claims (entity, provider, item) to entity, item, share: the items with the most weight, `most` an entity, then the least, and their share of all weight."""
+    weight = F.coalesce(*(F.when(F.col("provider") == k, w) for k, w in WEIGHTS.items())).cast("decimal(18,2)")
+    sums = claims.where(F.col("item").isNotNull() & F.col("provider").isin(*WEIGHTS)).groupBy("entity", "item").agg(F.sum(weight).alias("w"))
+    every = Window.partitionBy("entity")
+    rows = sums.withColumns({"share": F.round(F.col("w").cast("double") / F.sum("w").over(every).cast("double"), 6), "rn": F.row_number().over(every.orderBy(F.desc("w"), "item"))})
+    return rows.where(F.col("rn") <= most).select("entity", "item", "share")

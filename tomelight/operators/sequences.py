@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def streaks(days: DataFrame, key: str, day: str) -> DataFrame:
@@ -41,3 +41,16 @@ def trailing_counts(events: DataFrame, key: str, at: str, seconds: dict[str, int
     for name, width in seconds.items():
         events = events.withColumn(name, F.count("*").over(Window.partitionBy(key).orderBy(clock).rangeBetween(-width * 1_000_000, 0)))
     return events
+
+
+def breaker(events: DataFrame, key: str, at: str, failed: Column, threshold: int, cooldown_seconds: int) -> DataFrame:
+    """events with `refused`: the key's breaker is open for them, `threshold` failures or more in a row before them, the
+    last within the cool-down; a success clears it. Calls count as they came, refused or not."""
+    order = Window.partitionBy(key).orderBy(at, "event_id")
+    rows = events.withColumn("__n", F.row_number().over(order)).withColumn("__failed", failed)
+    seen = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__run", F.col("__n") - F.coalesce(F.max(F.when(~F.col("__failed"), F.col("__n"))).over(seen), F.lit(0)))
+    clock = F.unix_micros(F.col(at).cast("timestamp"))
+    opened = F.max(F.when(F.col("__run") >= threshold, clock)).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    refused = (F.lag("__run").over(order) >= threshold) & (clock - opened < cooldown_seconds * 1_000_000)
+    return rows.withColumn("refused", F.coalesce(refused, F.lit(False))).drop("__n", "__failed", "__run")
