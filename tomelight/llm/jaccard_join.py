@@ -251,8 +251,8 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     Classes that do are linked to the least class with that n-gram and size, never in pairs, and what is
     linked is a block. A block of usual size is joined in a prefix tree by one task. A larger one is dealt to
     parts, the classes that many others were linked to going to all of them; then the classes outside the block's
-    largest component, and only those, are compared with the classes that share an n-gram of their prefix and have
-    like sizes, list by list, a long list in parts. So a large block with few links costs what its lists hold.
+    largest component, and only those, are compared with every part, or, where that costs less (many such classes), with
+    the classes that share an n-gram of their prefix and have like sizes, list by list, a long list in parts.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
@@ -294,13 +294,23 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     found = components(links)
     split = members.where("subs > 1")
     if not split.isEmpty():
-        split = durable(split.join(found, split.id == found.node, "left").select("id", "block", F.coalesce("component", "id").alias("label")), "split")
+        split = durable(split.join(found, split.id == found.node, "left").select("id", "block", "subs", F.coalesce("component", "id").alias("label")), "split")
         largest = split.groupBy("block", "label").agg(F.count("*").alias("n")).groupBy("block").agg(F.max_by("label", F.struct("n", "label")).alias("top"))
-        asked = split.join(largest, "block").select("id", "label", (F.col("label") != F.col("top")).cast("int").alias("ask"))
-        listed = durable(routes.join(asked, "id").selectExpr("gram", "id", "n", "label", "ask", "explode(array(size - 1, size)) as band"), "listed")
-        lists = listed.groupBy("gram", "band").agg(F.count("*").alias("texts"), F.sum("n").alias("grams"), F.sum("ask").alias("asks"), F.min("label").alias("low"), F.max("label").alias("high")).where("asks > 0 and low < high")
-        sizes = (F.ceil(F.greatest(F.col("grams") * 8 / BLOCK_BYTES, F.col("texts") / BLOCK_TEXTS)).cast("int").alias("subs"), F.ceil(F.col("asks") / BLOCK_TEXTS).cast("int").alias("turns"))
-        both = listed.join(lists.select("gram", "band", *sizes), ["gram", "band"]).select("id", F.xxhash64("gram", "band").alias("block"), "label", "subs", "turns", "ask")
+        asked = durable(split.join(largest, "block").select("id", "block", "subs", "label", (F.col("label") != F.col("top")).cast("int").alias("ask")), "asked")
+        turns = F.ceil(F.col("asks") / BLOCK_TEXTS).cast("int").alias("turns")
+        large = durable(asked.groupBy("block", "subs").agg(F.count("*").alias("texts"), F.sum("ask").alias("asks")).where("asks > 0").select("*", turns), "large")
+        both = asked.join(large.select("block", "turns"), "block")
+        crowded = large.where("turns > 1")
+        if not crowded.isEmpty():  # lists cost less than all parts of the block
+            listed = routes.join(asked.join(crowded.select("block"), "block", "left_semi").drop("subs"), "id").selectExpr("gram", "id", "n", "block", "label", "ask", "explode(array(size - 1, size)) as band")
+            listed = durable(listed, "listed")
+            lists = listed.groupBy("gram", "band").agg(F.min("block").alias("block"), F.count("*").alias("texts"), F.sum("n").alias("grams"), F.sum("ask").alias("asks"), F.min("label").alias("low"), F.max("label").alias("high"))
+            lists = lists.where("asks > 0 and low < high").select("gram", "band", "block", "texts", "asks", turns, F.ceil(F.greatest(F.col("grams") * 8 / BLOCK_BYTES, F.col("texts") / BLOCK_TEXTS)).cast("int").alias("subs"))
+            costs = lists.groupBy("block").agg(F.sum(F.expr("texts * turns + asks * subs")).alias("cost"))
+            cheap = durable(crowded.join(costs, "block", "left").where("coalesce(cost, 0) < asks * subs + texts * turns").select("block"), "cheap")
+            lists = lists.join(cheap, "block", "left_semi").select("gram", "band", "subs", "turns")
+            rows = listed.join(lists, ["gram", "band"]).select("id", F.xxhash64("gram", "band").alias("block"), "subs", "label", "ask", "turns")
+            both = both.join(cheap, "block", "left_anti").unionByName(rows)
         both = durable(both.withColumn("role", F.explode(F.when(F.col("ask") == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("ask"), "both")
         more = linked(both, both.select("id").distinct(), f"explode(if(role = 1, sequence(0, subs - 1), {own}))", "explode(if(role = 1, array(cast(pmod(xxhash64(id, 1), turns) as int)), sequence(0, turns - 1)))")
         found = components(durable(links.union(more), "links"))
