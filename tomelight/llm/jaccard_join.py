@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import golomb
 from .components import components
-from .store import durable, restrict, shards
+from .store import drop, durable, restrict, shards
 from .textkit import U64, byte_hashes, chunks, lower, mix, ngram_hashes, ragged, run_hashes, words
 
 #: n-grams of one packet and of one owner in the exchange of their counts, about.
@@ -276,7 +276,9 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     rest = routes.join(F.broadcast(hot.select("gram", "size")), ["gram", "size"], "left_anti")
     stars = routes.join(F.broadcast(hot), ["gram", "size"]).select("id", "hub").union(rest.join(cool, ["gram", "size"]).select("id", "hub")).where("id <> hub")
     candidates = durable(stars.union(hubs.join(below, ["gram", "size"]).where("id <> hub").select("id", "hub")).distinct(), "candidates")
-    blocks = durable(components(candidates).toDF("id", "block"), "blocks")
+    chained = components(candidates)
+    blocks = durable(chained.toDF("id", "block"), "blocks")
+    drop(chained)
     sizes = classes.select(F.col("rep").alias("id"), "n")
     weighed = blocks.join(sizes, "id").groupBy("block").agg(F.ceil(F.greatest(F.sum("n") * 8 / BLOCK_BYTES, F.count("*") / BLOCK_TEXTS)).cast("int").alias("subs"))
     often = candidates.groupBy("hub").count().where(f"count >= {BLOCK_TEXTS}").selectExpr("hub as id", "true as everywhere")
@@ -292,6 +294,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     alone = members.selectExpr("id", "block", "id as label", "subs", "0 as role", "1 as turns", "everywhere")
     links = durable(linked(alone, members.select("id"), f"explode(if(everywhere, sequence(0, subs - 1), {own}))", "0"), "links")
     found = components(links)
+    over = [packets, hubs, candidates, blocks]  # tables that nothing reads any more
     split = members.where("subs > 1")
     if not split.isEmpty():
         split = durable(split.join(found, split.id == found.node, "left").select("id", "block", "subs", F.coalesce("component", "id").alias("label")), "split")
@@ -313,7 +316,11 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
             both = both.join(cheap, "block", "left_anti").unionByName(rows)
         both = durable(both.withColumn("role", F.explode(F.when(F.col("ask") == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("ask"), "both")
         more = linked(both, both.select("id").distinct(), f"explode(if(role = 1, sequence(0, subs - 1), {own}))", "explode(if(role = 1, array(cast(pmod(xxhash64(id, 1), turns) as int)), sequence(0, turns - 1)))")
-        found = components(durable(links.union(more), "links"))
+        all_links = durable(links.union(more), "links")
+        found = components(all_links)
+        over += [split, asked, large, both, all_links]
+    for gone in [*over, routes, members, links]:
+        drop(gone)
     heads = classes.join(found, classes.rep == found.node, "left").select("n", "lo", "hi", F.coalesce("component", "rep").alias("component_id"))
     out = table.join(heads, ["n", "lo", "hi"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
