@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tomelight.functions import html as H, titles as T
+from tomelight.functions.text import page_meta
 from tomelight.operators import curation as K, validation as V
 from tomelight.streaming import events as E
 
@@ -133,3 +134,10 @@ def test_alpha(spark):
     expected = 2 * 2 * 3 / (5 * 4)
     assert (r.units, r.observed, r.expected, r.alpha) == (5, 0.4, expected, round(1 - 0.4 / expected, 6)) and r.level == "poor"
     assert K.alpha(spark.createDataFrame([(1, 1, "x")], "unit long, annotator long, label string")).first().alpha == 1.0
+
+
+def test_page_meta(spark):
+    page = '<html><head><title> A  page </title><meta name="description" content="D"><meta property="og:image" content="i.png"></head><body><h1>The <b>head</b></h1><a href="/x">x</a><a>y</a></body>'
+    og = '<meta property="og:title" content="OG"><title>T</title><meta name="twitter:description" content="TD">'
+    got = spark.createDataFrame([(page,), (og,), (None,)], "h string").select(page_meta("h").alias("m")).collect()
+    assert [tuple(r.m) for r in got] == [("A page", "D", "i.png", "The head", 1), ("OG", "TD", None, None, 0), (None, None, None, None, 0)]

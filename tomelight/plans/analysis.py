@@ -76,27 +76,29 @@ def q_anomaly_days(t: Tables) -> DataFrame:
     return t.events.where("event_type = 'error'").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("errors")).where("errors >= 3")
 
 
-@query("SELECT a, b, levenshtein(a, b) AS d, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) AS sim FROM (SELECT DISTINCT p_name AS a FROM part), (SELECT min(p_name) AS b FROM part)")
+def _pairs(t: Tables) -> DataFrame:
+    """Pairs of different names that share a bigram."""
+    names = t.part.select(F.col("p_name").alias("a")).distinct()
+    return M.dice_pairs(names, names.select(F.col("a").alias("b")), "a", "b").where("a < b")
+
+
+@query("WITH n AS (SELECT DISTINCT p_name AS a FROM part), g AS (SELECT a, list_distinct(list_transform(generate_series(1, length(a) - 1), lambda k: substr(a, k, 2))) AS g FROM n) SELECT x.a, y.a AS b, round(1 - levenshtein(lower(x.a), lower(y.a)) / greatest(length(x.a), length(y.a)), 6) AS similarity FROM g x JOIN g y ON x.a < y.a AND len(list_intersect(x.g, y.g)) > 0")
 def q_similarity(t: Tables) -> DataFrame:
-    least = t.part.agg(F.min("p_name").alias("b"))
-    names = t.part.select(F.col("p_name").alias("a")).distinct().crossJoin(F.broadcast(least))
-    return names.select("a", "b", F.levenshtein("a", "b").cast("long").alias("d"), F.round(C.similarity(F.col("a"), F.col("b")), 6).alias("sim"))
+    """Pairs of different names with a common bigram, by edit distance."""
+    return _pairs(t).select("a", "b", F.round(C.similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
-@query("WITH x AS (SELECT a, b, list_distinct(list_transform(generate_series(1, length(a) - 1), lambda k: substr(a, k, 2))) AS ga, list_distinct(list_transform(generate_series(1, length(b) - 1), lambda k: substr(b, k, 2))) AS gb FROM (SELECT DISTINCT p_name AS a FROM part), (SELECT max(p_name) AS b FROM part)) SELECT a, round(len(list_intersect(ga, gb)) / (len(ga) + len(gb) - len(list_intersect(ga, gb))), 6) AS jaccard FROM x")
+@query("WITH n AS (SELECT DISTINCT p_name AS a FROM part), g AS (SELECT a, list_distinct(list_transform(generate_series(1, length(a) - 1), lambda k: substr(a, k, 2))) AS g FROM n) SELECT x.a, y.a AS b, round(len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))), 6) AS jaccard FROM g x JOIN g y ON x.a < y.a AND len(list_intersect(x.g, y.g)) > 0")
 def q_ngram_jaccard(t: Tables) -> DataFrame:
-    most = t.part.agg(F.max("p_name").alias("b"))
-    names = t.part.select(F.col("p_name").alias("a")).distinct().crossJoin(F.broadcast(most))
-    return names.select("a", F.round(C.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
+    """Pairs of different names with a common bigram; all others have 0."""
+    return _pairs(t).select("a", "b", F.round(C.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
 
 
 @query("""WITH n AS (SELECT DISTINCT p_name AS a FROM part), g AS (SELECT a, g, count(*) AS n FROM (SELECT a, unnest(list_transform(generate_series(1, length(a) - 1), lambda k: substr(a, k, 2))) AS g FROM n) GROUP BY 1, 2),
 s AS (SELECT x.a, y.a AS b, sum(least(x.n, y.n)) AS shared FROM g x JOIN g y ON x.g = y.g AND x.a < y.a GROUP BY 1, 2) SELECT a, b, round(2 * shared / (length(a) + length(b) - 2), 6) AS dice FROM s""")
 def q_dice(t: Tables) -> DataFrame:
     """Pairs of different names with a common bigram; all others have 0."""
-    names = t.part.select(F.col("p_name").alias("a")).distinct()
-    pairs = M.dice_pairs(names, names.select(F.col("a").alias("b")), "a", "b").where("a < b")
-    return pairs.select("a", "b", F.round("dice", 6).alias("dice"))
+    return _pairs(t).select("a", "b", F.round("dice", 6).alias("dice"))
 
 
 @query("SELECT c_custkey, substr(sha256(c_name), 1, 16) AS alias FROM customer")
@@ -164,6 +166,6 @@ def q_export_pairs(t: Tables) -> DataFrame:
     return kept.select("conv_id", "turn", F.col("text").alias("instruction"), before.alias("input"), F.col("next_text").alias("output"))
 
 
-@query(None)
+@query("SELECT doc_id, to_json({'doc_id': doc_id, 'lang': lang, 'source': source, 'text': text}) AS line FROM documents")
 def q_export_jsonl(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.to_json(F.struct("doc_id", "lang", "source", "text")).alias("line"))
