@@ -47,26 +47,36 @@ def found(x: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(x, ascii_edges(pattern), group), F.lit(""))
 
 
+def bound(x: Column, f) -> Column:
+    """f(x) with x evaluated once, however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _plausible(number: Column) -> Column:
+    return bound(number, lambda n: F.when((n >= 0) & (n < 10_000), n))
+
+
 def sequence_number(x: Column) -> Column:
     """The number of an entry from its text: 0-N is 0.N, then "N. title", "Chapter N", a number in front. Null unless 0 <= n < 10000."""
     minor = F.coalesce(*(found(x, p) for p in PREQUEL))
-    number = F.coalesce(F.concat(F.lit("0."), minor), *(found(x, p) for p in NUMBERED)).try_cast("double")
-    return F.when((number >= 0) & (number < 10_000), number)
+    return _plausible(F.coalesce(F.concat(F.lit("0."), minor), *(found(x, p) for p in NUMBERED)).try_cast("double"))
 
 
 def volume_range(x: Column) -> Column:
     """struct(start, end, single) of the volumes in a title: the first range pattern that holds, else the first single one; null without one."""
-    bare = F.trim(F.regexp_replace(x, r"[\[\](){}<>]", " "))
-    picks = []
-    for k, p in enumerate(RANGES):
-        a, b = (found(bare, p, g).try_cast("int") for g in (1, 2))
-        ok = (b >= a) & ((a >= 1) & (b <= 999) & (b - a <= 100) if k == len(RANGES) - 1 else F.lit(True))
-        picks.append(F.when(ok, F.struct(a.alias("start"), b.alias("end"), F.lit(False).alias("single"))))
-    for k, p in enumerate(SINGLES):
-        a = found(bare, p).try_cast("int")
-        ok = a.between(1, 99) & ~bare.rlike(VOLUME_WORD) if k == len(SINGLES) - 1 else a.isNotNull()
-        picks.append(F.when(ok, F.struct(a.alias("start"), a.alias("end"), F.lit(True).alias("single"))))
-    return F.coalesce(*picks)
+
+    def pick(a: Column, b: Column, single: bool, ok) -> Column:
+        own = F.struct(a.try_cast("int").alias("start"), b.try_cast("int").alias("end"), F.lit(single).alias("single"))
+        return bound(own, lambda r: F.when(ok(r), r))
+
+    def first(bare: Column) -> Column:
+        short = lambda r: (r["start"] >= 1) & r["end"].between(r["start"], 999) & (r["end"] - r["start"] <= 100)
+        ranges = [pick(found(bare, p, 1), found(bare, p, 2), False, short if p == RANGES[-1] else lambda r: r["end"] >= r["start"]) for p in RANGES]
+        alone = lambda r: r["start"].between(1, 99) & ~bare.rlike(VOLUME_WORD)
+        singles = [pick(found(bare, p), found(bare, p), True, alone if p == SINGLES[-1] else lambda r: r["start"].isNotNull()) for p in SINGLES]
+        return F.coalesce(*ranges, *singles)
+
+    return bound(F.trim(F.regexp_replace(x, r"[\[\](){}<>]", " ")), first)
 
 
 def volume_label(r: Column) -> Column:
@@ -190,7 +200,6 @@ IN_FRONT = (r"^(\d+)[\s:.\-–—]", r"^(\d+)$")
 
 def listed_number(x: Column) -> Column:
     """The number of an entry in a list of links: an explicit marker, else a bare number in front that is no date, page count or ISBN."""
-    plausible = lambda n: F.when((n >= 0) & (n < 10_000), n)
     minor = lambda p: F.concat(F.lit("0."), found(x, p)).try_cast("double")
     marked = F.coalesce(found(x, MARKED_PREQUEL), *(found(x, p) for p in MARKERS)).isNotNull()
     explicit = F.coalesce(minor(MARKED_PREQUEL), F.coalesce(*(found(x, p) for p in MARKERS)).try_cast("double"))
@@ -198,4 +207,4 @@ def listed_number(x: Column) -> Column:
     for p in NO_ENTRY:
         other = other | x.rlike(ascii_edges(p))
     bare = F.coalesce(*(minor(p) for p in PREQUEL[1:]), F.coalesce(*(found(x, p) for p in IN_FRONT)).try_cast("double"))
-    return F.when(marked & plausible(explicit).isNotNull(), explicit).when(~other, plausible(bare))
+    return F.coalesce(F.when(marked, _plausible(explicit)), F.when(~other, _plausible(bare)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tomelight.functions.columns import half_up
+from tomelight.functions.titles import ascii_edges
 
 # Texts that say nothing, and the words that English is told by.
 PLACEHOLDERS = (r"(?i)^no\s+image\s+available?$", r"(?i)^cover[-\s]?not[-\s]?found", r"(?i)^tba$", r"(?i)^(unknown|n/a|none)$", r"(?i)^description\s+not\s+available$", r"(?i)^see\s+(also|wiki(pedia)?)", r"(?i)^this\s+(page|article)\s+is\s+a\s+stub")
@@ -37,7 +38,7 @@ def alpha(annotations: DataFrame) -> DataFrame:
 def text_richness(x: Column) -> Column:
     """Up to 1.5 for a long text with English words."""
     letters = F.regexp_count(x, F.lit("[a-zA-Z]"))
-    english = F.when(letters / F.length(x) < 0.4, 0.0).otherwise(F.least(F.lit(1.0), F.regexp_count(x, F.lit(ENGLISH)) / 10))
+    english = F.when(letters / F.length(x) < 0.4, 0.0).otherwise(F.least(F.lit(1.0), F.regexp_count(x, F.lit(ascii_edges(ENGLISH))) / 10))
     return F.least(F.lit(RICHEST), 0.6 + 0.6 * F.least(F.lit(1.0), F.length(x) / IDEAL) + 0.3 * english)
 
 

@@ -23,7 +23,7 @@ def sort_modes(rows: DataFrame, key: str, id_col: str, title: str) -> DataFrame:
         "alphabetical": F.col(title).asc(), "alphabetical_desc": F.col(title).desc(), "date_added": F.col("added").desc(), "date_added_desc": F.col("added").asc(),
         "last_read": F.col("last_read").desc(), "progress": F.col("progress").desc(), "rating": F.col("n").desc(),
     }
-    places = [F.row_number().over(Window.partitionBy(key).orderBy(by, id_col)).alias(name) for name, by in order.items()]
+    places = [F.row_number().over(Window.partitionBy(key).orderBy(by, id_col)).cast("long").alias(name) for name, by in order.items()]
     return rows.select(key, id_col, *places)
 
 
