@@ -41,12 +41,17 @@ def _size(compressor: zstandard.ZstdCompressor, text: bytes) -> int:
     return sum(len(compressor.compress(text[a : a + PART])) for a in range(0, max(1, len(text)), PART))
 
 
+def _sizes(texts: list[bytes], content: bytes) -> np.ndarray:
+    """The compressed sizes by one dictionary; its tables, many times its size, go before the next one's come."""
+    compressor = _compressor(content)
+    return np.array([_size(compressor, t) for t in texts], float)
+
+
 def _evidence(texts: list[bytes], good: bytes, bad: bytes) -> np.ndarray:
     """Per text: the difference of its compressed sizes over its size, and how far its size lets one trust it."""
-    g, b = _compressor(good), _compressor(bad)
     size = np.array([len(t) for t in texts], float)
     weight = size / (size + SHORT)
-    less = np.array([_size(b, t) - _size(g, t) for t in texts], float) / np.maximum(size, 1)
+    less = (_sizes(texts, bad) - _sizes(texts, good)) / np.maximum(size, 1)
     return np.stack([less * weight, weight], 1)
 
 
