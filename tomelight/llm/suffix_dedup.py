@@ -17,6 +17,8 @@ from .textkit import U64, byte_hashes, chunks, eights, mix
 BUCKET = 4 << 20
 #: Bytes of a trigger, and one window in so many is one: the mean length of a phrase.
 TRIGGER, PHRASE = 8, 32
+#: Strings go one way by where their phrase lies in them, in steps of so many bytes: a phrase of very many strings has several owners.
+STEP = 128
 #: Bytes of stretches that one owner gets, and that are put in order at a time, about.
 STRETCHES, PART = 8 << 20, 1 << 20
 
@@ -242,6 +244,7 @@ def _stretches(size: int, bits: int):
             if not len(p):
                 continue
             key, place = _routes(data, size, p, a, b, h)
+            key = mix(key + ((place - p) // STEP).astype(U64))
             new = np.concatenate([[True], (np.diff(p) > 1) | (key[1:] != key[:-1])])
             head = np.flatnonzero(new)
             tail = np.append(head[1:], len(p)) - 1
