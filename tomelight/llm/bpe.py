@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from .textkit import as_binary
+from .textkit import as_binary, give_back
 
 #: White space of the normaliser: Unicode's White_Space.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -238,7 +238,7 @@ class Encoder:
     def forget(self) -> None:
         """Give back what was kept, for the stages that come after in the same process."""
         self.vocabulary.kept.clear()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     def chunks(self, text: str) -> list[str]:
         """The text cut at white space, which no pre-token crosses."""

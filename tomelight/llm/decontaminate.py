@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .exchange import member
 from .store import durable, restrict, row_key
-from .textkit import U64, byte_hashes, chunks, lower, mix, ngram_hashes, ragged, words
+from .textkit import U64, byte_hashes, chunks, give_back, lower, mix, ngram_hashes, ragged, words
 
 #: Walks, samples of each walk and symbols of a sample. Windows within the distance share a sample with probability
 #: 0.95 at least if half of the symbols of a walk differ, and nearly always with fewer.
@@ -182,6 +182,7 @@ def _search(shared):
             out = [(names[text], items.ids[k], p, p + n, d, 1 - d / n) for (text, k), (d, p, n) in sorted(best.items())]
             kinds = (batch.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["id", "item_id", "first_word", "end_word", "distance", "similarity"])
+        give_back()
 
     return search
 

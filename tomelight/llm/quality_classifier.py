@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .textkit import as_binary
+from .textkit import as_binary, give_back
 
 #: Labelled rows of each class that the classifier is fitted on, at most (those with the least hash of their id), and
 #: bytes of their texts: whole texts are taken while they fit.
@@ -126,5 +126,6 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text",
         for batch in batches:
             found = shared.value.score(as_binary(batch.column(at)).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, score_col])
+        give_back()
 
     return docs.mapInArrow(scores, StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
