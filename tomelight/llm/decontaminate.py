@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .exchange import member
-from .store import durable, restrict, row_key
+from .store import durable, restrict, row_key, unused
 from .textkit import U64, byte_hashes, chunks, give_back, lower, mix, ngram_hashes, ragged, words
 
 #: Walks, samples of each walk and symbols of a sample. Windows within the distance share a sample with probability
@@ -192,7 +192,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, num: int = 20, den: int =
 
     A document holds an item if a window of as many words as the item has is within num / den of these words in edits
     (words split at ASCII white space, A-Z lower-cased); the nearest such window, then the first, is returned. Null
-    and empty texts, and items without words, match nothing; repeated rows each match; null ids come back as null; an
+    and empty texts, and items without words, match nothing; repeated rows each match; null ids of either table come back as null; an
     empty table gives an empty result; other columns are not looked at.
 
     The walks of CGK embed every item and every window of an item's size (windows with too few words or pairs of words
@@ -203,7 +203,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, num: int = 20, den: int =
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    asked = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null")
+    asked = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
     n, size = asked.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks, parts = max(1, -(-n // ITEMS), -(-size // ITEM_BYTES)), []
     for k in range(blocks):
@@ -219,6 +219,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, num: int = 20, den: int =
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without the rows that hold a benchmark item; other rows of the same id, or of a null one, stay."""
-    docs = docs.withColumn("__row", row_key(id_col, text_col))
-    held = durable(find_items(docs, benchmark, id_col="__row", text_col=text_col, **options).select("__row").distinct(), "held")
-    return restrict(docs, held, "__row", "left_anti").drop("__row")
+    row = unused(docs, "__row")
+    docs = docs.withColumn(row, row_key(id_col, text_col))
+    held = durable(find_items(docs, benchmark, id_col=row, text_col=text_col, **options).select(row).distinct(), "held")
+    return restrict(docs, held, row, "left_anti").drop(row)

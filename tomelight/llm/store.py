@@ -38,6 +38,14 @@ def drop(df: DataFrame) -> None:
         folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, with more underscores while df has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_key(id_col: str, text_col: str) -> Column:
     """A 64-bit hash of a row's id and text: rows that share an id, a null one too, are told apart by it."""
     return F.xxhash64(F.col(id_col).isNull(), id_col, text_col)
