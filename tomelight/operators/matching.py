@@ -1,4 +1,4 @@
-"""Sort modes, best matches and duplicates of titles, blocked by shared bigrams instead of comparing all pairs."""
+"""Sort modes, best matches and duplicates of titles; similar titles are found by the joins of operators/similarity.py."""
 
 from __future__ import annotations
 
@@ -8,13 +8,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tomelight.functions import columns as C
 
-#: Numbers that a range may expand to.
-LONGEST = 10_000
+from .similarity import dice_join, edit_join
 
-
-def covered(first: Column, last: Column) -> Column:
-    """The numbers of a range, empty if it is reversed or longer than LONGEST."""
-    return F.when(last.between(first, first + LONGEST), F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+#: What an equal year adds to a match.
+SAME_YEAR = 1.15
 
 
 def sort_modes(rows: DataFrame, key: str, id_col: str, title: str) -> DataFrame:
@@ -55,7 +52,7 @@ def best_match(asked: DataFrame, names: DataFrame, least: float = 0.3) -> DataFr
     """
     title = lambda c, main: names.select("id", F.explode(c).alias("name"), F.lit(main).alias("main"))
     known = title("titles", True).union(title("synonyms", False))
-    scored = dice_pairs(asked, known, "asked", "name").join(known, "name")
+    scored = dice_join(asked, known, "asked", "name", least - 1e-6).join(known, "name")  # no factor raises a score
     own = scored.groupBy("asked", "id").agg(F.max(F.struct("dice", "main", "name")).alias("best")).select("asked", "id", "best.*")
     ask, name = F.split("asked", " "), F.split("name", " ")
     lone = (F.size(ask) >= 2) & (F.size(name) >= 3) & (F.size(F.filter(ask, lambda w: F.array_contains(name, w))) <= 1)
@@ -68,13 +65,11 @@ def best_match(asked: DataFrame, names: DataFrame, least: float = 0.3) -> DataFr
 def fuzzy_duplicates(new: DataFrame, known: DataFrame, least: float) -> DataFrame:
     """path, id, score: the known entity that each new one repeats, by an equal path, else by a similarity of `least` or more.
 
-    new: path, title; known: path, title, id. A similarity (1 - edits / longer length) of `least` > 0.5 leaves a common
-    bigram in titles of two characters or more, so only such pairs are compared.
+    new: path, title; known: path, title, id. The similarity is 1 - edits / longer length.
     """
     same = new.join(known.select("path", "id"), "path").select("path", "id", F.lit(2.0).alias("score"))
     other = known.withColumnRenamed("title", "name")
-    pairs = _grams(new, "title").join(_grams(other, "name").drop("n"), "gram").select("title", "name").distinct()
-    pairs = pairs.withColumn("score", C.similarity(F.col("title"), F.col("name"))).where(F.col("score") >= least - 1e-9)
+    pairs = edit_join(new, other, "title", "name", least)
     like = new.join(pairs, "title").join(other.select("name", "id"), "name").select("path", "id", "score")
     rank = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("score"), "id"))
     return same.union(like).withColumn("rn", rank).where("rn = 1").select("path", "id", F.least(F.round("score", 6), F.lit(1.0)).alias("score"))
@@ -85,13 +80,13 @@ def multi_signal_match(asked: DataFrame, names: DataFrame, least: float = 0.4) -
 
     asked: asked, chapters, year; names: id, name, chapters, year; unknown counts and years do not weigh. Ties: the
     smaller difference of lengths, then id."""
-    pairs = dice_pairs(asked, names, "asked", "name")
+    pairs = dice_join(asked, names, "asked", "name", least / SAME_YEAR - 1e-6)  # no other factor raises a score
     a, b = asked.select("asked", F.col("chapters").alias("c"), F.col("year").alias("y")), names.select("id", "name", "chapters", "year")
     rows = pairs.join(a, "asked").join(b, "name")
     x, y = F.length("asked"), F.length("name")
     close = F.when((F.col("c") > 0) & (F.col("chapters") > 0), 0.7 + 0.3 * F.least("c", "chapters") / F.greatest("c", "chapters")).otherwise(1.0)
     gap = F.abs(F.col("y") - F.col("year"))
-    years = F.when(gap.isNull(), 1.0).when(gap == 0, 1.15).when(gap <= 2, 1.0).otherwise(0.8)
+    years = F.when(gap.isNull(), 1.0).when(gap == 0, SAME_YEAR).when(gap <= 2, 1.0).otherwise(0.8)
     rows = rows.withColumn("score", F.round(F.col("dice") * F.least(x, y) / F.greatest(x, y) * close * years, 6)).where(F.col("score") >= least)
     rank = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), F.abs(x - y), "id"))
     return rows.withColumn("rn", rank).where("rn = 1").select("asked", "id", "score")

@@ -66,14 +66,14 @@ def _range_sql() -> str:
     case = lambda xs: f"CASE {' '.join(xs)} END"
     pad = lambda c: f"'v' || lpad(cast({c} AS VARCHAR), cast(greatest(2, length(cast({c} AS VARCHAR))) AS INTEGER), '0')"
     rows = f"SELECT p_partkey, {case(first)} AS a, {case(last)} AS b, {case(single)} AS s FROM (SELECT p_partkey, trim(regexp_replace({TITLE}, '[\\[\\](){{}}<>]', ' ', 'g')) AS t FROM part)"
-    return f"SELECT p_partkey, a AS first_volume, b AS last_volume, s AS single, CASE WHEN s THEN {pad('a')} ELSE {pad('a')} || '-' || {pad('b')} END AS label, CASE WHEN b - a < 200 THEN b - a + 1 END AS volumes FROM ({rows}) WHERE a IS NOT NULL"
+    return f"SELECT p_partkey, a AS first_volume, b AS last_volume, s AS single, CASE WHEN s THEN {pad('a')} ELSE {pad('a')} || '-' || {pad('b')} END AS label, greatest(b - a + 1, 0) AS volumes FROM ({rows}) WHERE a IS NOT NULL"
 
 
 @query(_range_sql())
 def q_parse_range(t: Tables) -> DataFrame:
     rows = _titles(t).select("p_partkey", T.volume_range(F.col("title")).alias("r")).where("r is not null")
-    volumes = F.size(matching.covered(F.col("r.start"), F.col("r.end")))
-    return rows.select("p_partkey", F.col("r.start").alias("first_volume"), F.col("r.end").alias("last_volume"), F.col("r.single").alias("single"), T.volume_label(F.col("r")).alias("label"), F.when(F.col("r.end") - F.col("r.start") < 200, volumes).alias("volumes"))
+    volumes = F.greatest(F.col("r.end") - F.col("r.start") + 1, F.lit(0))
+    return rows.select("p_partkey", F.col("r.start").alias("first_volume"), F.col("r.end").alias("last_volume"), F.col("r.single").alias("single"), T.volume_label(F.col("r")).alias("label"), volumes.alias("volumes"))
 
 
 def _noise_sql(x: str) -> str:

@@ -1,4 +1,4 @@
-"""Event streams: windowed counts with late data, sessions, per-day upserts and a token bucket as streaming DataFrames."""
+"""Event streams: windowed counts with late data, sessions and a token bucket as streaming DataFrames."""
 
 from __future__ import annotations
 
