@@ -107,9 +107,3 @@ def first_best(scores: dict[str, Column], least: int, otherwise: str) -> Column:
     most = F.greatest(*scores.values())
     first = F.coalesce(*(F.when(s == most, F.lit(name)) for name, s in scores.items()))
     return F.when(most < least, otherwise).otherwise(first)
-
-
-def person_key(x: Column) -> Column:
-    """The lower-case runs of letters and digits of a name, sorted: the order of its parts does not matter."""
-    parts = F.filter(F.split(F.lower(x), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return F.array_join(F.array_sort(parts), " ")

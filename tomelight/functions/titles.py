@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .folding import compatible
+
 # Patterns of numbers and ranges in titles, in the order in which they are tried.
 NUMBER = r"\d+(?:\.\d+)?"
 PREQUEL = (r"(?i)chapter\s*0+-(\d+)", r"^0+-(\d+)(?:\.|$|\s)", r"\b0+-(\d+)\b")
@@ -93,13 +95,13 @@ def without_noise(x: Column) -> Column:
 
 
 def comparison_key(x: Column) -> Column:
-    """Lower case, signs other than letters, digits and _ dropped, white space collapsed (ASCII; compose other text first)."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), r"[^\w\s]", ""), r"\s+", " "))
+    """Compatibility forms replaced, lower case, signs other than ASCII letters, digits and _ dropped, white space collapsed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(compatible(x)), r"[^\w\s]", ""), r"\s+", " "))
 
 
 def synonym_key(x: Column) -> Column:
-    """Lower case, runs of separators as one space."""
-    return F.trim(F.regexp_replace(F.lower(x), r"[\s_\-:/.,;!?'\"]+", " "))
+    """Compatibility forms replaced, lower case, runs of separators as one space."""
+    return F.trim(F.regexp_replace(F.lower(compatible(x)), r"[\s_\-:/.,;!?'\"]+", " "))
 
 
 def edition_mismatch(a: Column, b: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tomelight.functions import columns as C
+from tomelight.functions import columns as C, folding
 from tomelight.operators import consensus, ranges, relational as R
 
 from .registry import Tables, query
@@ -288,7 +288,7 @@ def q_score_rank(t: Tables) -> DataFrame:
 
 @query("SELECT c_custkey, array_to_string(list_sort(string_split(lower(replace(c_name, '#', ' ')), ' ')), ' ') AS key FROM customer")
 def q_person_key(t: Tables) -> DataFrame:
-    return t.customer.select("c_custkey", C.person_key(F.col("c_name")).alias("key"))
+    return t.customer.select("c_custkey", folding.person_key(F.col("c_name")).alias("key"))
 
 
 @query("SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 12)")

@@ -124,10 +124,9 @@ def q_synonym_dedupe(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.array_join(matching.first_by_key(F.array(name, F.upper(name), F.replace(name, F.lit(" "), F.lit("-")), kind, F.concat(F.lower(kind), F.lit("!"))), T.synonym_key), "|").alias("synonyms"))
 
 
-@query(f"SELECT p_partkey, trim(regexp_replace(regexp_replace(lower({TITLE}), '[^\\w\\s]', '', 'g'), '\\s+', ' ', 'g')) AS key FROM part WHERE p_partkey % 9 <> 5")
+@query(f"SELECT p_partkey, trim(regexp_replace(regexp_replace(lower({TITLE}), '[^\\w\\s]', '', 'g'), '\\s+', ' ', 'g')) AS key FROM part")
 def q_comparison_key(t: Tables) -> DataFrame:
-    """Keys of the ASCII titles, those without the marker of volumes in Japanese."""
-    return _titles(t).where("not contains(title, '巻')").select("p_partkey", T.comparison_key(F.col("title")).alias("key"))
+    return _titles(t).select("p_partkey", T.comparison_key(F.col("title")).alias("key"))
 
 
 @query(rf"WITH k AS (SELECT p_partkey, unnest(regexp_extract_all({TITLE}, '[{T.CJK}]|[^\s{T.CJK}]+')) AS w FROM part) SELECT p_partkey, CASE WHEN regexp_matches(w, '^[{T.CJK}]$') THEN 'cjk' WHEN regexp_matches(w, '^\d+(?:[.,]\d+)?$') THEN 'number' WHEN regexp_matches(w, '^\p{{L}}+$') THEN 'word' ELSE 'mixed' END AS kind, count(*) AS n FROM k GROUP BY 1, 2")
