@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -65,6 +67,84 @@ def viterbi(df: DataFrame, emissions: str, transitions: list[list[float]], out:
     return df.withColumn(out, best(F.col(emissions)))
 
 
+#: Numbers that the padded scores of some rows may take together.
+PADDED = 1 << 22
+
+
+def _padded(rows: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(rows, scores, lengths) of some rows of about one length at a time, padded to the longest of them."""
+    order, some = sorted(range(len(rows)), key=lambda k: len(rows[k])), []
+    for k in order:
+        if some and (len(some) + 1) * rows[k].size > PADDED:
+            yield some, *_stack([rows[j] for j in some])
+            some = []
+        some.append(k)
+    if some:
+        yield some, *_stack([rows[j] for j in some])
+
+
+def _stack(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    size = np.array([len(r) for r in rows])
+    out = np.zeros((len(rows), size.max(), rows[0].shape[1]))
+    for k, r in enumerate(rows):
+        out[k, : len(r)] = r
+    return out, size
+
+
+def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis=axis, keepdims=True)
+    return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
+
+
+def _decode(x: np.ndarray, size: np.ndarray, step: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Best paths, and how likely each of their labels is given all paths (forward and backward sums), of padded rows."""
+    n, length, kinds = x.shape
+    best, back = start + x[:, 0], np.zeros((n, length, kinds), np.int64)
+    ahead = np.empty_like(x)
+    ahead[:, 0] = best
+    for t in range(1, length):
+        live = (t < size)[:, None]
+        both = best[:, :, None] + step
+        back[:, t] = both.argmax(axis=1)
+        best = np.where(live, both.max(axis=1) + x[:, t], best)
+        ahead[:, t] = np.where(live, _log_sum(ahead[:, t - 1, :, None] + step, 1) + x[:, t], ahead[:, t - 1])
+    behind = np.empty_like(x)
+    behind[:, -1] = end
+    for t in range(length - 2, -1, -1):
+        onward = _log_sum(step + (x[:, t + 1] + behind[:, t + 1])[:, None, :], 2)
+        behind[:, t] = np.where((t + 1 < size)[:, None], onward, end)
+    path = np.zeros((n, length), np.int64)
+    at = (best + end).argmax(axis=1)
+    for t in range(length - 1, -1, -1):
+        path[:, t] = at
+        at = np.where((t < size) & (t > 0), np.take_along_axis(back[:, t], at[:, None], 1)[:, 0], at)
+    total = _log_sum(ahead[:, -1] + end, 1)  # past its end a row keeps its last sums
+    sure = np.exp(np.take_along_axis(ahead + behind, path[:, :, None], 2)[:, :, 0] - total[:, None])
+    return path, sure
+
+
+def crf_decode(df: DataFrame, emissions: str, transitions: list[list[float]], start: list[float], end: list[float]) -> DataFrame:
+    """df with path (array<int>) and confidence (array<double>): the best labels of the tokens and the share of all paths that has each.
+
+    Scores of starting and ending with a label count too. Rows of an Arrow batch are decoded together, padded. Null and
+    empty rows have empty arrays; of equally good paths the one whose last differing label is the least.
+    """
+    step, first, last = np.array(transitions, float), np.array(start, float), np.array(end, float)
+
+    @F.pandas_udf("path array<int>, confidence array<double>")
+    def decoded(rows: pd.Series) -> pd.DataFrame:
+        found = [np.array([list(x) for x in r], float) if r is not None and len(r) else None for r in rows]
+        at = [k for k, r in enumerate(found) if r is not None]
+        paths, sure = [[] for _ in found], [[] for _ in found]
+        for some, x, size in _padded([found[k] for k in at]):
+            p, c = _decode(x, size, step, first, last)
+            for row, k in enumerate(some):
+                paths[at[k]], sure[at[k]] = p[row, : size[row]].tolist(), c[row, : size[row]].tolist()
+        return pd.DataFrame({"path": paths, "confidence": sure})
+
+    return df.withColumn("__found", decoded(F.col(emissions))).select(*df.columns, "__found.path", "__found.confidence")
+
+
 def softmax(x: Column) -> Column:
     """Softmax of an array, shifted by its largest entry."""
     shifted = F.transform(x, lambda v: F.exp(v - F.array_max(x)))

@@ -209,12 +209,28 @@ def q_rounded_median(t: Tables) -> DataFrame:
 _ANSWER = "regexp_extract(text, '[A-Za-z]{7,}', 0)"
 
 
-@query(f"SELECT conv_id, turn, conv_id || '-' || turn AS id, {_ANSWER} AS answer, strpos(text, {_ANSWER}) - 1 AS answer_start, array_to_string(string_split(text, ' ')[1:20], ' ') AS context FROM conversations WHERE {_ANSWER} <> ''")
+_ROUND = 200
+_AT = f"strpos(text, {_ANSWER})"
+
+
+@query(f"SELECT conv_id, turn, conv_id || '-' || turn AS id, {_ANSWER} AS answer, least({_AT} - 1, {_ROUND}) AS answer_start, substr(text, greatest(1, {_AT} - {_ROUND}), least({_AT} - 1, {_ROUND}) + length({_ANSWER}) + {_ROUND}) AS context FROM conversations WHERE {_ANSWER} <> ''")
 def q_export_squad(t: Tables) -> DataFrame:
-    """Question records: the answer, where it begins in the text, and the first words round it as context."""
-    answer = F.regexp_extract("text", "[A-Za-z]{7,}", 0)
-    rows = t.conversations.withColumn("answer", answer).where("answer <> ''")
-    return rows.select("conv_id", "turn", F.concat_ws("-", "conv_id", "turn").alias("id"), "answer", (F.instr("text", F.col("answer")) - 1).cast("long").alias("answer_start"), F.array_join(F.slice(F.split("text", " "), 1, 20), " ").alias("context"))
+    """Question records: the answer, the text round it as context, and where the answer begins in that."""
+    rows = t.conversations.withColumn("answer", F.regexp_extract("text", "[A-Za-z]{7,}", 0)).where("answer <> ''").withColumn("at", F.instr("text", F.col("answer")))
+    start = F.least(F.col("at") - 1, F.lit(_ROUND))
+    context = F.substring(F.col("text"), F.greatest(F.lit(1), F.col("at") - _ROUND), start + F.length("answer") + _ROUND)
+    return rows.select("conv_id", "turn", F.concat_ws("-", "conv_id", "turn").alias("id"), "answer", start.cast("long").alias("answer_start"), context.alias("context"))
+
+
+@query(f"""WITH a AS (SELECT conv_id, turn, text, {_ANSWER} AS own, md5(conv_id || '-' || turn) AS h FROM conversations WHERE {_ANSWER} <> ''), n AS (SELECT *, lead(own) OVER w AS other, first_value(own) OVER w AS first FROM a WINDOW w AS (PARTITION BY conv_id ORDER BY h))
+SELECT conv_id, turn, coalesce(other, first) AS asked, NOT contains(text, coalesce(other, first)) AS impossible FROM n WHERE own <> coalesce(other, first)""")
+def q_export_negatives(t: Tables) -> DataFrame:
+    """For each turn the answer of another turn of its conversation, by a hash, and whether its own text lacks it: a question without an answer."""
+    rows = t.conversations.withColumn("own", F.regexp_extract("text", "[A-Za-z]{7,}", 0)).where("own <> ''")
+    by = Window.partitionBy("conv_id").orderBy(F.md5(F.concat_ws("-", "conv_id", "turn").cast("binary")))
+    asked = F.coalesce(F.lead("own").over(by), F.first("own").over(by))
+    rows = rows.withColumn("asked", asked).where("own <> asked")
+    return rows.select("conv_id", "turn", "asked", (~F.contains("text", "asked")).alias("impossible"))
 
 
 @query("SELECT doc_id, '---' || chr(10) || 'id: \"' || doc_id || '\"' || chr(10) || 'lang: \"' || lang || '\"' || chr(10) || 'source: \"' || replace(source, '\"', '\\\"') || '\"' || chr(10) || '---' || chr(10) || chr(10) || text AS markdown FROM documents")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tomelight.functions import titles as T
@@ -166,14 +169,16 @@ def q_export_alpaca(t: Tables) -> DataFrame:
 
 @query("WITH a AS (SELECT 0 AS priority, 'customer' AS provider, c_name AS name, NULL AS error FROM customer UNION ALL SELECT 1, 'supplier', s_name, NULL FROM supplier UNION ALL SELECT 2, 'missing', NULL, 'not found') SELECT * FROM a")
 def q_federated_errors(t: Tables) -> DataFrame:
-    """Rows of several sources in order of priority; a source that cannot be read gives one row with its error."""
-    sources = {"customer": "c_name", "supplier": "s_name", "missing": "name"}
+    """Rows of several sources in order of priority; a source whose read fails gives one row with its error."""
     parts = []
-    for k, (name, column) in enumerate(sources.items()):
-        found = name in ("customer", "supplier")
-        own = getattr(t, name).select(F.col(column).alias("name")) if found else t.spark.range(1).select(F.lit(None).cast("string").alias("name"))
-        parts.append(own.select(F.lit(k).alias("priority"), F.lit(name).alias("provider"), "name", F.lit(None if found else "not found").cast("string").alias("error")))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    for k, (name, column) in enumerate({"customer": "c_name", "supplier": "s_name", "missing": "name"}.items()):
+        try:
+            own, error = getattr(t, name).select(F.col(column).alias("name")), None
+        except AnalysisException as e:
+            own = t.spark.range(1).select(F.lit(None).cast("string").alias("name"))
+            error = "not found" if e.getCondition() == "PATH_NOT_FOUND" else e.getCondition()
+        parts.append(own.select(F.lit(k).alias("priority"), F.lit(name).alias("provider"), "name", F.lit(error).cast("string").alias("error")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("SELECT p_partkey AS entity, u.field, u.value FROM part, LATERAL (VALUES ('publisher', p_brand), ('genre', p_type), ('name', p_name)) u(field, value) WHERE u.value IS NOT NULL")
