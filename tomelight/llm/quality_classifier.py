@@ -15,9 +15,11 @@ from .textkit import as_binary, give_back
 
 #: Labelled rows of each class that the classifier is fitted on, at most (those with the least hash of their id), and
 #: bytes of what they teach. A text that no longer fits is passed over and the next ones are tried.
-SAMPLE, SAMPLE_BYTES = 3000, 4 << 20
+SAMPLE, SAMPLE_BYTES = 3000, 2 << 20
 #: A longer text (in code points) teaches by PIECES pieces spread evenly over the whole of it, of this length together.
 LONG, PIECES = 1 << 16, 16
+#: Texts of a batch that are unpacked at a time.
+TOGETHER = 256
 #: Texts much shorter than this many bytes are scored near the share of label 1.
 SHORT = 48
 #: Bytes that are compressed at a time; for more, zstandard copies the tables of the dictionary instead of reading them in place.
@@ -151,7 +153,8 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text",
     def scores(batches):
         score = shared.value.scorer()
         for batch in batches:
-            found = score(as_binary(batch.column(at)).to_pylist())
+            texts = as_binary(batch.column(at))
+            found = np.concatenate([score(texts.slice(a, TOGETHER).to_pylist()) for a in range(0, max(1, len(texts)), TOGETHER)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, score_col])
         give_back()
 
