@@ -30,10 +30,11 @@ def folds(form: str) -> tuple[dict[str, str], dict[str, str]]:
 
 def _folded(x: Column, form: str) -> Column:
     one, more = folds(form)
-    x = F.translate(x, "".join(one), "".join(one.values()))
-    table = F.array(*(F.array(F.lit(c), F.lit(out)) for c, out in more.items()))
-    long_way = F.aggregate(table, x, lambda s, pair: F.replace(s, pair[0], pair[1]))
-    return F.when(x.rlike("[" + "".join(f"\\x{{{ord(c):x}}}" for c in more) + "]"), long_way).otherwise(x)  # few strings have such characters
+    each = F.translate(x, "".join(one), "".join(one.values()))
+    table = F.split(F.lit("\x01".join(c + out for c, out in more.items())), "\x01")  # one literal, whatever the number of pairs
+    long_way = F.aggregate(table, each, lambda s, pair: F.replace(s, F.substring(pair, 1, 1), F.substring(pair, 2, 99)))
+    rare = x.rlike("[" + "".join(f"\\x{{{ord(c):x}}}" for c in more) + "]")
+    return F.when(~x.rlike(r"[^\x00-\x7F]"), x).when(rare, long_way).otherwise(each)  # most strings are ASCII, few have characters that take several
 
 
 def without_marks(x: Column) -> Column:
