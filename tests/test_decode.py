@@ -6,6 +6,7 @@ import math
 import numpy as np
 
 from tomelight.operators import labelling as L
+from tomelight.plans import curation  # noqa: F401  it registers its queries
 from tomelight.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
