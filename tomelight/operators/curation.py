@@ -98,16 +98,29 @@ def front_matter(fields: dict[str, Column], body: Column) -> Column:
     return F.concat(F.lit("---\n"), lines, F.lit("\n---\n\n"), body)
 
 
-def first_spans(text: Column, terms: Column) -> Column:
-    """array<struct(start, end, term)>: for each term of an array in turn, its first place that no earlier span touches, by start.
+def placed_spans(text: Column, entities: Column) -> Column:
+    """array<struct(start, end, term, label)> by start: each entity (array of struct(text, label)) in turn at its first place that no earlier one touches.
+
+    A place that touches a span is left for the first one at or after the span's end, as every place before that touches it
+    too; so a search over the spans by start finds the free place, and no place of the text is tried by itself. Ends are
+    exclusive and count code points. Blank and missing entities, and those without a free place, are left out."""
+    empty = F.array().cast("array<struct<start:int,end:int,term:string,label:string>>")
+
+    def find(term: Column, since: Column) -> Column:
+        """The first place of the term at or after `since`, from 0; -1 if there is none."""
+        return F.call_function("locate", term, text, since + 1) - 1
 
-    Built in: a term's places are found by splitting the text, so long texts with many terms stay in the JVM."""
-    empty = F.array().cast("array<struct<start:int,end:int,term:string>>")
+    def place(spans: Column, e: Column) -> Column:
+        size = F.length(e["text"])
+        past = lambda at, s: F.when((at >= 0) & (at < s["end"]) & (at + size > s["start"]), find(e["text"], s["end"])).otherwise(at)
+        at = F.aggregate(spans, F.when(size > 0, find(e["text"], F.lit(0))).otherwise(-1), past)
+        new = lambda k: F.array_sort(F.array_append(spans, F.struct(k.alias("start"), (k + size).alias("end"), e["text"].alias("term"), e["label"].alias("label"))))
+        return F.element_at(F.transform(F.array(at), lambda k: F.when(k >= 0, new(k)).otherwise(spans)), 1)
 
-    def place(spans: Column, term: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(1), F.length(text)), lambda k: (F.substring(text, k, F.length(term)) == term) & (F.length(term) > 0))
-        free = F.filter(starts, lambda k: ~F.exists(spans, lambda s: (k - 1 < s["end"]) & (k - 1 + F.length(term) > s["start"])))
-        first = F.array_min(free)
-        return F.when(first.isNull(), spans).otherwise(F.array_append(spans, F.struct((first - 1).alias("start"), (first - 1 + F.length(term)).alias("end"), term.alias("term"))))
+    return F.coalesce(F.aggregate(entities, empty, place), empty)
 
-    return F.array_sort(F.when(F.length(text) > 0, F.aggregate(terms, empty, place)).otherwise(empty))
+
+def first_spans(text: Column, terms: Column) -> Column:
+    """array<struct(start, end, term)>: for each term of an array in turn, its first place that no earlier span touches, by start."""
+    spans = placed_spans(text, F.transform(terms, lambda x: F.struct(x.alias("text"), F.lit("").alias("label"))))
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["term"].alias("term")))
