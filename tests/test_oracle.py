@@ -6,7 +6,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from tomelight.plans import analysis, catalogue, curation, lexicon, markup, picks, relational, scoring, streams, structure, text, titles, upkeep  # noqa: F401
+from tomelight.plans import analysis, catalogue, curation, exports, lexicon, markup, picks, relational, scoring, streams, structure, text, titles, upkeep  # noqa: F401
 from tomelight.plans.registry import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"

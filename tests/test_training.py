@@ -153,3 +153,19 @@ def test_spans_of_many_terms(spark):
     df = spark.createDataFrame(cases, "t string, e array<struct<text:string,label:string>>")
     found = [[tuple(s) for s in r.s] for r in df.select(curation.placed_spans(F.col("t"), F.col("e")).alias("s")).collect()]
     assert found == [placed(text, [(label, term) for term, label in terms]) for text, terms in cases]
+
+
+def test_spacy_query(spark):
+    from tomelight.plans import exports
+    from tomelight.plans.registry import QUERIES, Tables
+
+    sf = "/root/testdata/sf0.001"
+    rows = {r.id: (r.tokens, r.tags) for r in exports._pages(Tables(spark, sf)).collect()}
+    found = {r.doc_id: json.loads(r.line) for r in QUERIES["q_export_spacy"](spark, sf).collect()}
+    assert found.keys() == rows.keys()
+    for k, (tokens, tags) in rows.items():
+        if len(tokens) > 400:
+            continue  # every place tried in turn takes long; shorter ones hold all cases
+        text = " ".join(tokens)
+        want = placed(text, [(kind, term) for kind, term, _, _ in found_entities(tokens, tags)])
+        assert found[k] == {"text": text, "ents": [{"start": s, "end": e, "label": x} for s, e, _, x in want]}

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from bisect import bisect_left
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tomelight.functions.columns import half_up
 from tomelight.functions.titles import ascii_edges
@@ -12,6 +15,7 @@ PLACEHOLDERS = (r"(?i)^no\s+image\s+available?$", r"(?i)^cover[-\s]?not[-\s]?fou
 ENGLISH = r"(?i)\b(the|a|an|and|of|to|in|is|for|on|with|by|that|this)\b"
 SHORTEST, IDEAL, RICHEST = 80, 800, 1.5
 LEVELS = {"excellent": 0.8, "good": 0.67, "fair": 0.4}
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("term", T.StringType()), T.StructField("label", T.StringType())]))
 
 
 def alpha(annotations: DataFrame) -> DataFrame:
@@ -98,26 +102,34 @@ def front_matter(fields: dict[str, Column], body: Column) -> Column:
     return F.concat(F.lit("---\n"), lines, F.lit("\n---\n\n"), body)
 
 
-def placed_spans(text: Column, entities: Column) -> Column:
-    """array<struct(start, end, term, label)> by start: each entity (array of struct(text, label)) in turn at its first place that no earlier one touches.
-
-    A place that touches a span is left for the first one at or after the span's end, as every place before that touches it
-    too; so a search over the spans by start finds the free place, and no place of the text is tried by itself. Ends are
-    exclusive and count code points. Blank and missing entities, and those without a free place, are left out."""
-    empty = F.array().cast("array<struct<start:int,end:int,term:string,label:string>>")
-
-    def find(term: Column, since: Column) -> Column:
-        """The first place of the term at or after `since`, from 0; -1 if there is none."""
-        return F.call_function("locate", term, text, since + 1) - 1
-
-    def place(spans: Column, e: Column) -> Column:
-        size = F.length(e["text"])
-        past = lambda at, s: F.when((at >= 0) & (at < s["end"]) & (at + size > s["start"]), find(e["text"], s["end"])).otherwise(at)
-        at = F.aggregate(spans, F.when(size > 0, find(e["text"], F.lit(0))).otherwise(-1), past)
-        new = lambda k: F.array_sort(F.array_append(spans, F.struct(k.alias("start"), (k + size).alias("end"), e["text"].alias("term"), e["label"].alias("label"))))
-        return F.element_at(F.transform(F.array(at), lambda k: F.when(k >= 0, new(k)).otherwise(spans)), 1)
-
-    return F.coalesce(F.aggregate(entities, empty, place), empty)
+@F.pandas_udf(SPANS)
+def placed_spans(text: pd.Series, entities: pd.Series) -> pd.Series:
+    """Spans by start: each entity (array of struct(text, label)) in turn at its first place that no earlier one touches.
+
+    A place that touches a span is left for the first one at or after the span's end, as every place between touches it too;
+    a term that comes again is looked for behind its last place. So a text is read about once for each of its distinct terms,
+    however often they come. Ends are exclusive and count code points. Blank and missing entities, and those without a free
+    place, are left out."""
+
+    def place(x, row) -> list[dict]:
+        spans, since = [], {}
+        for e in () if x is None or row is None else row:
+            term = e["text"] if e else None
+            if not term:
+                continue
+            at = x.find(term, since.get(term, 0))
+            while at >= 0:
+                k = bisect_left(spans, (at, -1))
+                touched = max([spans[j][1] for j in (k - 1, k) if 0 <= j < len(spans) and at < spans[j][1] and at + len(term) > spans[j][0]], default=None)
+                if touched is None:
+                    spans.insert(k, (at, at + len(term), term, e["label"]))
+                    at += len(term)
+                    break
+                at = x.find(term, touched)
+            since[term] = at if at >= 0 else len(x) + 1
+        return [dict(zip(("start", "end", "term", "label"), s)) for s in spans]
+
+    return pd.Series([place(x, row) for x, row in zip(text, entities)], dtype=object)
 
 
 def first_spans(text: Column, terms: Column) -> Column:
