@@ -7,7 +7,7 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import Column, functions as F, types as T
 
 # Elements whose text is not shown, headings that begin a section, and the roles of table columns.
 _HIDDEN = ("script", "style", "textarea", "option")
@@ -102,6 +102,11 @@ def strip_html(x: pd.Series) -> pd.Series:
     return x.map(text)
 
 
+def excerpt(x: Column, limit: int, suffix: str = "...") -> Column:
+    """A text of more than `limit` characters as its first ones, trimmed, and the suffix, which the limit does not count."""
+    return F.when(F.length(x) > limit, F.concat(F.trim(F.substring(x, 1, limit)), F.lit(suffix))).otherwise(x)
+
+
 @F.pandas_udf(T.StringType())
 def section_text(x: pd.Series, heading: pd.Series) -> pd.Series:
     """The paragraphs after a heading (h2 or h3, in any case) until the next one; without it, the first of more than 50 characters; else null."""

@@ -92,16 +92,17 @@ def records(pages: DataFrame, form: str, kinds: list[str] | None = None, groups:
     meta = lambda *more: [F.struct(*about, *more).alias("metadata")] if metadata else []
     line = lambda *fields: F.to_json(F.struct(*fields)).alias("line")
     if form == "sharegpt":
-        chats = rows.select("id", *(k for k in OPTIONAL), F.posexplode(_chats(groups or {})).alias("place", "c"))
+        chats = rows.select("id", "source", "title", F.posexplode(_chats(groups or {})).alias("place", "c"))
         return chats.select("id", "place", line(F.col("c.turns").alias("conversations"), *meta(F.col("c.kind").alias("conversationType"))))
     if form in ("alpaca", "qa"):
-        each = rows.select("*", F.posexplode("entities").alias("place", "e"))
+        near = F.transform("entities", lambda e: e.withField("context", _context(e, INPUT_CONTEXT if form == "alpaca" else ANSWER_CONTEXT)))
+        each = rows.select("id", "source", "title", F.posexplode(near).alias("place", "e"))  # the page's words do not go with each entity
         e, kind = F.col("e"), F.col("e.type").alias("entityType")
         if form == "alpaca":
             order = F.concat(F.lit("Extract the "), _named(e["type"]), F.coalesce(F.concat(F.lit(' of "'), F.col("title"), F.lit('"')), F.lit("")), F.lit("."))
-            return each.select("id", "place", line(order.alias("instruction"), truncated(_context(e, INPUT_CONTEXT), INPUT).alias("input"), e["text"].alias("output"), *meta(kind)))
+            return each.select("id", "place", line(order.alias("instruction"), truncated(e["context"], INPUT).alias("input"), e["text"].alias("output"), *meta(kind)))
         places = (e["first"].alias("answerStart"), e["last"].alias("answerEnd"))
-        return each.select("id", "place", line(_about(e["type"], F.col("title")).alias("question"), e["text"].alias("answer"), _context(e, ANSWER_CONTEXT).alias("context"), *meta(kind, *places)))
+        return each.select("id", "place", line(_about(e["type"], F.col("title")).alias("question"), e["text"].alias("answer"), e["context"], *meta(kind, *places)))
     if form in ("ner", "spacy"):
         terms = F.transform("entities", lambda e: F.struct(e["text"].alias("text"), e["type"].alias("label")))
         spans = rows.withColumn("text", whole).withColumn("spans", placed_spans(F.col("text"), terms))

@@ -67,6 +67,15 @@ def q_foreign_tokens(t: Tables) -> DataFrame:
     return _titles(t).select("p_partkey", T.foreign(words, F.array(accepted)).alias("rejected"))
 
 
+@query(f"WITH x AS (SELECT p_partkey, list_filter(string_split(lower({_noise_sql(TITLE)}), ' '), lambda w: regexp_matches(w, '^[a-z]{{2,}}$')) AS r, string_split(p_name, ' ') AS c FROM part), y AS (SELECT *, CASE p_partkey % 4 WHEN 0 THEN c WHEN 1 THEN c[1:1] WHEN 2 THEN c[2:2] ELSE [] END AS a FROM x) SELECT p_partkey, len(r) > 0 AND len(a) = 1 AND length(a[1]) <= 6 AND len(list_filter(r, lambda w: NOT list_contains(a, w) AND NOT list_contains(['deluxe', 'part', 'omnibus', 'digital'], w))) > 0 AS rejected FROM y")
+def q_foreign_titles(t: Tables) -> DataFrame:
+    """The same for accepted titles of two words, of the first or the second word, and of none: some reject a release, others let it pass."""
+    name, nth = F.split("p_name", " "), F.col("p_partkey") % 4
+    accepted = F.when(nth == 0, name).when(nth == 1, F.slice(name, 1, 1)).when(nth == 2, F.slice(name, 2, 1)).otherwise(F.array().cast("array<string>"))
+    words = F.filter(F.split(F.lower(T.without_noise(F.col("title"))), " "), lambda w: w.rlike("^[a-z]{2,}$"))
+    return _titles(t).select("p_partkey", T.foreign(words, F.array(accepted)).alias("rejected"))
+
+
 @query(None)
 def q_release_coverage(t: Tables) -> DataFrame:
     rows = _titles(t).select("p_partkey", T.release_coverage(F.col("title")).alias("c"))

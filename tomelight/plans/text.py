@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tomelight.functions import columns as C, text as X
+from tomelight.functions import columns as C, html as H, text as X
 from tomelight.operators import labelling as L
 from tomelight.streaming import events as E
 
@@ -25,6 +25,12 @@ def q_dangerous_html(t: Tables) -> DataFrame:
     return t.pages.select("page_id", sum((F.col("html").rlike(p).cast("int") for p in _DANGERS), F.lit(0)).alias("dangers"))
 
 
+@query("SELECT doc_id, CASE WHEN length(x) > 200 THEN trim(left(x, 200), ' ') || '...' ELSE x END AS excerpt FROM (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\r]+', ' ', 'g'), ' ') AS x FROM documents)")
+def q_excerpt(t: Tables) -> DataFrame:
+    """The first 200 characters of each document, white space collapsed."""
+    return t.documents.select("doc_id", H.excerpt(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \t\n\r]+", " ")), 200).alias("excerpt"))
+
+
 @query(None)
 def q_sentence_split(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.posexplode(X.sentences("text")).alias("k", "sentence"))
