@@ -1,6 +1,7 @@
 """Similarity joins against all pairs, and how few pairs they look at."""
 
 import random
+from collections import Counter
 
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
@@ -53,6 +54,56 @@ def test_edit_join_by_chance(spark, seed, least):
     assert got == every_pair(spark, a, a, C.similarity, least)
 
 
+def plain_dice(a, b):
+    x, y = (Counter(t[k : k + 2] for k in range(len(t) - 1)) for t in (a, b))
+    return 2 * (x & y).total() / (x.total() + y.total()) if x and y else 0.0
+
+
+def test_dice_of_multisets(spark):
+    a = [*texts(3, 60), "\U0001f600\U0001f600\U0001f600", "\U0001f600\U0001f600", "ab" * 150, "ab" * 100 + "ba" * 50]
+    rows = frame(spark, set(a), "a").crossJoin(frame(spark, set(a), "b")).select("a", "b", C.dice(F.col("a"), F.col("b")).alias("s")).collect()
+    assert len(rows) == len(set(a)) ** 2 and all(abs(r.s - plain_dice(r.a, r.b)) < 1e-12 for r in rows)
+    null = spark.createDataFrame([(None, "abc")], "a string, b string").select(C.dice(F.col("a"), F.col("b"))).first()[0]
+    assert null is None or null == 0
+
+
+def match_rows(spark):
+    a, b = sorted(set(texts(4, 70))), sorted(set(texts(5, 90)))
+    asked = [(t, k % 9 if k % 4 else None, float(k % 6), 1990 + k % 4 if k % 5 else None) for k, t in enumerate(a)]
+    names = [(f"n{k % 60}", t + ("z" if k % 3 == 0 else ""), k % 60 % 9, float(k % 60 % 7), 1990 + k % 60 % 6) for k, t in enumerate(b)]
+    one = spark.createDataFrame(asked, "asked string, ref long, chapters double, year long")
+    return asked, names, one, spark.createDataFrame(names, "id string, name string, ref long, chapters double, year long")
+
+
+def plain_score(a, b):
+    if not a[0] or not b[1]:
+        return 0.0
+    x, y = len(a[0]), len(b[1])
+    close = 0.7 + 0.3 * min(a[2], b[3]) / max(a[2], b[3]) if a[2] and b[3] else 1.0
+    years = 1.0 if a[3] is None else 1.15 if a[3] == b[4] else 1.0 if abs(a[3] - b[4]) <= 2 else 0.8
+    return round(plain_dice(a[0], b[1]) * min(x, y) / max(x, y) * close * years, 6)
+
+
+def test_referenced_match_against_a_plain_one(spark):
+    asked, names, one, two = match_rows(spark)
+    want, ways = {}, Counter()
+    for a in asked:
+        found = []
+        for b in names:
+            fits = any(("z" in a[0]) == ("z" in c[1]) for c in names if c[0] == b[0])
+            referred = a[1] is not None and a[1] == b[2]
+            how = "edition" if referred and fits else "reference" if referred else "title" if fits else None
+            if how and plain_score(a, b) >= 0.4:
+                found.append((how, -plain_score(a, b), abs(len(a[0]) - len(b[1])), b[0]))
+        if found:
+            how, score, _, id_ = min(found)
+            want[a[0]] = (id_, -score, how)
+            ways[how] += 1
+    got = M.referenced_match(one, two, lambda a, b: F.contains(a, F.lit("z")) != F.contains(b, F.lit("z"))).collect()
+    assert {r.asked: (r.id, r.score, r.how) for r in got} == want and len(got) == len(want) and len(ways) == 3
+    assert not M.referenced_match(one.where("false"), two, lambda a, b: F.lit(False)).collect()
+
+
 def test_few_pairs_are_compared(spark):
     names = spark.read.parquet(f"{SF}/documents.parquet").select(F.substring("text", 1, 50).alias("name")).distinct()
     shared = M.dice_pairs(names, names.withColumnRenamed("name", "other"), "name", "other").count()

@@ -75,18 +75,44 @@ def fuzzy_duplicates(new: DataFrame, known: DataFrame, least: float) -> DataFram
     return same.union(like).withColumn("rn", rank).where("rn = 1").select("path", "id", F.least(F.round("score", 6), F.lit(1.0)).alias("score"))
 
 
+def _signals(pairs: DataFrame) -> DataFrame:
+    """pairs (asked, name, dice, and of both sides counts c and chapters and years y and year) with gap and score; unknown counts and years do not weigh."""
+    x, y = F.length("asked"), F.length("name")
+    close = F.when((F.col("c") > 0) & (F.col("chapters") > 0), 0.7 + 0.3 * F.least("c", "chapters") / F.greatest("c", "chapters")).otherwise(1.0)
+    years = F.abs(F.col("y") - F.col("year"))
+    years = F.when(years.isNull(), 1.0).when(years == 0, SAME_YEAR).when(years <= 2, 1.0).otherwise(0.8)
+    return pairs.withColumns({"gap": F.abs(x - y), "score": F.round(F.col("dice") * F.least(x, y) / F.greatest(x, y) * close * years, 6)})
+
+
 def multi_signal_match(asked: DataFrame, names: DataFrame, least: float = 0.4) -> DataFrame:
     """asked, id, score: the best entity by Dice coefficient, ratio of lengths, closeness of counts and of years.
 
     asked: asked, chapters, year; names: id, name, chapters, year; unknown counts and years do not weigh. Ties: the
     smaller difference of lengths, then id."""
     pairs = dice_join(asked, names, "asked", "name", least / SAME_YEAR - 1e-6)  # no other factor raises a score
-    a, b = asked.select("asked", F.col("chapters").alias("c"), F.col("year").alias("y")), names.select("id", "name", "chapters", "year")
-    rows = pairs.join(a, "asked").join(b, "name")
-    x, y = F.length("asked"), F.length("name")
-    close = F.when((F.col("c") > 0) & (F.col("chapters") > 0), 0.7 + 0.3 * F.least("c", "chapters") / F.greatest("c", "chapters")).otherwise(1.0)
-    gap = F.abs(F.col("y") - F.col("year"))
-    years = F.when(gap.isNull(), 1.0).when(gap == 0, SAME_YEAR).when(gap <= 2, 1.0).otherwise(0.8)
-    rows = rows.withColumn("score", F.round(F.col("dice") * F.least(x, y) / F.greatest(x, y) * close * years, 6)).where(F.col("score") >= least)
-    rank = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), F.abs(x - y), "id"))
+    a = asked.select("asked", F.col("chapters").alias("c"), F.col("year").alias("y"))
+    rows = _signals(pairs.join(a, "asked").join(names.select("id", "name", "chapters", "year"), "name")).where(F.col("score") >= least)
+    rank = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "gap", "id"))
     return rows.withColumn("rn", rank).where("rn = 1").select("asked", "id", "score")
+
+
+def referenced_match(asked: DataFrame, names: DataFrame, differs: Callable[[Column, Column], Column], least: float = 0.4) -> DataFrame:
+    """asked, id, score, how: as multi_signal_match, but entities that refer to the one asked for come first.
+
+    asked: asked, ref (may be null), chapters, year; names: a row for each title of an id, with the id's ref, chapters
+    and year. differs(asked, name): whether a title is of another edition; an id is of the right one if any of its
+    titles is. how: `edition` (it refers to the one asked for, right edition), `reference` (any edition) or `title`
+    (right edition, no reference needed); each needs a score of `least`, and the first that has one wins. Ties: the
+    smaller difference of lengths, then id. References are joined by key, titles by their rarest grams."""
+    a = asked.select("asked", "ref", F.col("chapters").alias("c"), F.col("year").alias("y"))
+    b = names.select("id", "name", "chapters", "year")
+    by_ref = a.where("ref is not null").join(names, "ref").select("asked", "name", "id", "c", "y", "chapters", "year", C.dice(F.col("asked"), F.col("name")).alias("dice"), F.lit(True).alias("referred"))
+    by_title = dice_join(a, names, "asked", "name", least / SAME_YEAR - 1e-6).join(a, "asked").join(b, "name")
+    by_title = by_title.select("asked", "name", "id", "c", "y", "chapters", "year", "dice", F.lit(False).alias("referred"))
+    rows = _signals(by_ref.unionByName(by_title)).where(F.col("score") >= least)
+    best = rows.groupBy("asked", "id", "referred").agg(F.min(F.struct((-F.col("score")).alias("s"), "gap")).alias("b"))
+    own = best.select("asked", "id").distinct().join(names.select("id", "name"), "id").groupBy("asked", "id").agg(F.max(~differs(F.col("asked"), F.col("name"))).alias("fits"))
+    how = F.when(F.col("referred") & F.col("fits"), "edition").when(F.col("referred"), "reference").when(F.col("fits"), "title")
+    rows = best.join(own, ["asked", "id"]).select("asked", "id", (-F.col("b.s")).alias("score"), F.col("b.gap").alias("gap"), how.alias("how")).where("how is not null")
+    rank = F.row_number().over(Window.partitionBy("asked").orderBy("how", F.desc("score"), "gap", "id"))  # the names stand in their order
+    return rows.withColumn("rn", rank).where("rn = 1").select("asked", "id", "score", "how")

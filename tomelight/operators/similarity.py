@@ -10,37 +10,41 @@ from tomelight.functions import columns as C
 EPS = 1e-9
 
 
-def _grams(df: DataFrame, text: str) -> DataFrame:
-    """text, size, gram, of each different text: its bigrams, the second of a kind apart from the first, so that multisets are sets."""
-    rows = df.select(F.col(text).alias("text")).where(F.length("text") >= 2).distinct().select("text", (F.length("text") - 1).alias("size"), F.explode(C.ngrams(F.col("text"), 2)).alias("gram"))
-    number = F.row_number().over(Window.partitionBy("text", "gram").orderBy("gram"))
-    return rows.withColumn("gram", F.struct("gram", number.alias("n")))
+def _bags(df: DataFrame, text: str) -> DataFrame:
+    """text and bag of each different text of two signs or more: its bigrams, the second of a kind apart from the first, so that multisets are sets."""
+    return df.select(F.col(text).alias("text")).where(F.length("text") >= 2).distinct().select("text", C.bigram_bag(F.col("text")).alias("bag"))
 
 
-def _rarest(grams: DataFrame, frequency: DataFrame, least: float) -> DataFrame:
+def _rarest(bags: DataFrame, frequency: DataFrame, least: float) -> DataFrame:
     """The grams of each text that a partner has to share one of: the rarest ones, all but as many as must be shared, less one."""
     must = F.ceil(F.col("size") * (least / (2 - least)) - EPS)
     rank = F.row_number().over(Window.partitionBy("text").orderBy("f", "gram"))
+    grams = bags.select("text", F.size("bag").alias("size"), F.explode("bag").alias("gram"))
     return grams.join(frequency, "gram").withColumn("rank", rank).where(F.col("rank") <= F.col("size") - must + 1).select("text", "size", "gram")
 
 
+def _candidates(x: DataFrame, y: DataFrame, least: float) -> DataFrame:
+    grams = x.select(F.explode("bag").alias("gram")).unionAll(y.select(F.explode("bag").alias("gram")))
+    frequency = grams.groupBy("gram").agg(F.count("*").alias("f"))
+    y = _rarest(y, frequency, least).select("gram", F.col("text").alias("other"), F.col("size").alias("others"))
+    most = (2 - least) / least
+    band = (F.col("others") <= F.col("size") * most + EPS) & (F.col("size") <= F.col("others") * most + EPS)
+    return _rarest(x, frequency, least).join(y, "gram").where(band).select("text", "other").distinct()
+
+
 def dice_candidates(a: DataFrame, b: DataFrame, left: str, right: str, least: float) -> DataFrame:
     """Pairs of texts that may have a Dice coefficient of `least` or more (above 0).
 
     Two sets of x and y grams with that coefficient share least / 2 * (x + y) of them, so their sizes lie in a band, and
     the rarest grams of both, in one order by frequency, meet."""
-    x, y = _grams(a, left), _grams(b, right)
-    frequency = x.select("gram").unionAll(y.select("gram")).groupBy("gram").agg(F.count("*").alias("f"))
-    y = _rarest(y, frequency, least).select("gram", F.col("text").alias("other"), F.col("size").alias("others"))
-    most = (2 - least) / least
-    band = (F.col("others") <= F.col("size") * most + EPS) & (F.col("size") <= F.col("others") * most + EPS)
-    pairs = _rarest(x, frequency, least).join(y, "gram").where(band).select("text", "other").distinct()
-    return pairs.toDF(left, right)
+    return _candidates(_bags(a, left), _bags(b, right), least).toDF(left, right)
 
 
 def dice_join(a: DataFrame, b: DataFrame, left: str, right: str, least: float) -> DataFrame:
     """left, right, dice of the pairs of texts with a Dice coefficient of bigrams of `least` or more."""
-    found = dice_candidates(a, b, left, right, least).withColumn("dice", C.dice(F.col(left), F.col(right)))
+    x, y = _bags(a, left), _bags(b, right)
+    found = _candidates(x, y, least).join(x, "text").join(y.select(F.col("text").alias("other"), F.col("bag").alias("bags")), "other")
+    found = found.select(F.col("text").alias(left), F.col("other").alias(right), C.bag_dice(F.col("bag"), F.col("bags")).alias("dice"))
     return found.where(F.col("dice") >= least - EPS)
 
 

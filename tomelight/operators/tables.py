@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Spans that HTML allows, elements without an end, classes of gallery items and captions, and what headers and cells say.
@@ -22,6 +23,9 @@ RANGE, ISBN = r"(?i)chapters?\s+(\d[\d.]*(?:\s*[-–]\s*\d[\d.]*)?)", r"(?i)(?:i
 ARC, ARC_NAME = r"(?i)\b(arc|saga|story)\b", r"(?i)\s+(arc|saga|story)$"
 
 CELLS = "tbl int, line int, place int, head boolean, own boolean, spans boolean, kind string, value string"
+_TYPES = {name: {"int": pa.int32(), "boolean": pa.bool_(), "string": pa.string()}[kind] for name, kind in (c.split() for c in CELLS.split(", "))}
+#: Rows of cells that leave a task's worker at a time.
+BATCH = 10_000
 
 
 class _Reader(HTMLParser):
@@ -145,9 +149,30 @@ class _Cells:
 table_cells = F.udtf(_Cells, returnType=CELLS, useArrow=True)
 
 
+def _cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of table_cells of each page, in batches of about BATCH rows; a page's rows may lie in several."""
+    for batch in batches:
+        at, rows = [], []
+        for k, html in enumerate(batch.column(1).to_pylist()):
+            for row in _Cells().eval(html):
+                at.append(k)
+                rows.append(row)
+                if len(rows) == BATCH:
+                    yield _packed(batch.column(0), at, rows)
+                    at, rows = [], []
+        if rows:
+            yield _packed(batch.column(0), at, rows)
+
+
+def _packed(pages: pa.Array, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES.values(), strict=True)]
+    return pa.RecordBatch.from_arrays([pages.take(pa.array(at, pa.int32())), *columns], ["page", *_TYPES])
+
+
 def page_cells(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """page and the columns of table_cells; pages without tables have no rows."""
-    return pages.select(F.col(id_col).alias("page"), F.col(html_col).alias("html")).lateralJoin(table_cells(F.col("html").outer())).drop("html")
+    """page and the columns of table_cells, read in batches of pages; pages without tables have no rows."""
+    pages = pages.select(F.col(id_col).alias("page"), F.col(html_col).alias("html"))
+    return pages.mapInArrow(_cells_of, f"page {pages.schema['page'].dataType.simpleString()}, {CELLS}")
 
 
 def _found(x: Column, pattern: str) -> Column:
@@ -168,7 +193,7 @@ def table_facts(cells: DataFrame) -> DataFrame:
     one volume meet), arc (rows that name an arc head the rows below them), rowspan (a volume's cell stands beside several
     rows), standard (a column of volumes), generic. All rows of a table are dealt by page and table once.
     """
-    cells = cells.where("tbl >= 0")
+    cells = cells.where("tbl >= 0").repartition("page", "tbl")  # every window below lies within a table
     table = Window.partitionBy("page", "tbl")
     row = Window.partitionBy("page", "tbl", "line")
     text = F.array_join(F.sort_array(F.collect_set(F.when(F.col("own"), F.struct("place", "value"))).over(row)).value, " ")

@@ -13,13 +13,15 @@ from .registry import Tables, query
 _NOW = "2024-02-01 00:00:00"
 
 
-@query("""WITH a AS (SELECT doc_id AS unit, unnest([quality, toxic, quality]) AS label FROM labels), n AS (SELECT unit, label, count(*) AS n, sum(count(*)) OVER (PARTITION BY unit) - count(*) AS other FROM a WHERE label IS NOT NULL GROUP BY 1, 2),
+@query("""WITH a AS (SELECT doc_id AS unit, unnest([quality, toxic, CASE WHEN n_chars >= 1000 THEN 1 ELSE 0 END]) AS label FROM labels LEFT JOIN documents USING (doc_id)), n AS (SELECT unit, label, count(*) AS n, sum(count(*)) OVER (PARTITION BY unit) - count(*) AS other FROM a WHERE label IS NOT NULL GROUP BY 1, 2),
 c AS (SELECT label, sum(n * (n - 1) / 2) AS same, sum(n * other) AS cross_ FROM n GROUP BY 1), s AS (SELECT sum(same + cross_) AS t, sum(cross_) AS x, sum((same + cross_) * (same + cross_)) AS q FROM c),
 r AS (SELECT x / t AS observed, (t * t - q) / (t * (t - 1)) AS expected FROM s)
 SELECT (SELECT count(DISTINCT unit) FROM a) AS units, round(observed, 6) AS observed, round(expected, 6) AS expected, round(1 - observed / expected, 6) AS alpha, CASE WHEN 1 - observed / expected >= 0.8 THEN 'excellent' WHEN 1 - observed / expected >= 0.67 THEN 'good' WHEN 1 - observed / expected >= 0.4 THEN 'fair' ELSE 'poor' END AS level FROM r""")
 def q_iaa_alpha(t: Tables) -> DataFrame:
-    """Two marks of each document as annotators, and a third that repeats the first."""
-    rows = t.labels.select(F.col("doc_id").alias("unit"), F.posexplode(F.array("quality", "toxic", "quality")).alias("annotator", "label"))
+    """Two marks of each document as annotators, and a third who marks by length."""
+    third = F.when(F.col("n_chars") >= 1000, 1).otherwise(0)
+    both = t.labels.join(t.documents.select("doc_id", "n_chars"), "doc_id", "left")
+    rows = both.select(F.col("doc_id").alias("unit"), F.posexplode(F.array("quality", "toxic", third)).alias("annotator", "label"))
     return K.alpha(rows)
 
 
@@ -203,7 +205,9 @@ def q_softmax(t: Tables) -> DataFrame:
 
 @query("SELECT l_orderkey, CASE WHEN count(*) % 2 = 1 THEN median(l_quantity) ELSE floor(median(l_quantity) + 0.5) END AS median FROM lineitem GROUP BY 1")
 def q_rounded_median(t: Tables) -> DataFrame:
-    return t.lineitem.groupBy("l_orderkey").agg(F.collect_list("l_quantity").alias("v")).select("l_orderkey", K.rounded_median(F.col("v")).alias("median"))
+    """Counted by value, so no group is listed."""
+    median = F.percentile("l_quantity", 0.5)
+    return t.lineitem.groupBy("l_orderkey").agg(F.when(F.count("l_quantity") % 2 == 1, median).otherwise(C.half_up(median).cast("double")).alias("median"))
 
 
 _ANSWER = "regexp_extract(text, '[A-Za-z]{7,}', 0)"
@@ -272,6 +276,16 @@ def q_undelivered(t: Tables) -> DataFrame:
     return left.groupBy("user_id").agg(F.count("*").alias("waiting"), F.min("event_id").alias("oldest"))
 
 
+@query("""WITH s AS (SELECT user_id, max(struct_pack(ts := ts, event_id := event_id)) AS seen FROM events WHERE event_type = 'view' GROUP BY 1)
+SELECT e.user_id, count(*) AS waiting, min(e.ts) AS since, max(s.user_id) IS NOT NULL AS reader FROM events e LEFT JOIN s USING (user_id) WHERE event_type <> 'view' AND (seen IS NULL OR e.ts > seen.ts OR (e.ts = seen.ts AND e.event_id > seen.event_id)) GROUP BY 1""")
+def q_unacknowledged(t: Tables) -> DataFrame:
+    """Messages of a user after the last one that the user acknowledged (a view): an acknowledgement marks all before it, and one that comes late moves nothing back."""
+    at = F.struct("ts", "event_id")
+    seen = t.events.where("event_type = 'view'").groupBy("user_id").agg(F.max(at).alias("seen"))
+    left = t.events.where("event_type <> 'view'").join(seen, "user_id", "left").where(F.col("seen").isNull() | (at > F.col("seen")))
+    return left.groupBy("user_id").agg(F.count("*").alias("waiting"), F.min("ts").alias("since"), F.max("seen").isNotNull().alias("reader"))
+
+
 @query("WITH a AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS age FROM events WHERE event_type = 'error') SELECT user_id, event_id, CASE WHEN age > 10 THEN 'evicted' WHEN attempt % 4 = 0 THEN 'dead' ELSE 'retry' END AS state, cast(CASE WHEN age <= 10 AND attempt % 4 <> 0 THEN least(30, pow(2, attempt % 4)) END AS BIGINT) AS wait FROM a")
 def q_retry_queue(t: Tables) -> DataFrame:
     """A queue of the newest ten entries: older ones are evicted, those of the fourth attempt dead, others wait up to 30 seconds."""

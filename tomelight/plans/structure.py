@@ -9,7 +9,7 @@ from tomelight.operators import matching, validation as V
 from tomelight.streaming import events as E
 
 from .registry import Tables, query
-from .titles import TITLE, _noise_sql, _titles
+from .titles import TITLE, _lit, _noise_sql, _titles
 
 
 @query(None)
@@ -54,6 +54,29 @@ def q_multi_signal_match(t: Tables) -> DataFrame:
     return matching.multi_signal_match(asked, names)
 
 
+_DIFFERS = " OR ".join(f"regexp_matches(asked, {_lit(p)}) <> regexp_matches(name, {_lit(p)})" for p in (*T.EDITIONS, *T.SPINOFFS))
+
+
+@query(f"""WITH i AS (SELECT p_name AS id, min(p_partkey) AS ref, cast(min(p_size) AS DOUBLE) AS chapters, min(1990 + p_size % 5) AS year FROM part GROUP BY 1),
+q AS (SELECT lower({_noise_sql(TITLE)}) AS asked, CASE max(p_partkey) % 3 WHEN 1 THEN max(i.ref) WHEN 2 THEN max(p_partkey) % 40 + 1 END AS ref, cast(max(p_size) AS DOUBLE) AS chapters, max(1990 + p_size % 9) AS year FROM part JOIN i ON i.id = p_name GROUP BY 1),
+c AS (SELECT id, lower(id) || CASE WHEN ref % 3 = 0 THEN ' deluxe' ELSE '' END AS name, ref, chapters, year FROM i UNION ALL SELECT id, lower(id) || ' omnibus', ref, chapters, year FROM i WHERE ref % 2 = 0),
+g AS (SELECT asked, g, count(*) AS n FROM (SELECT asked, unnest(list_transform(generate_series(1, length(asked) - 1), lambda k: substr(asked, k, 2))) AS g FROM q) GROUP BY 1, 2), h AS (SELECT name, g, count(*) AS n FROM (SELECT name, unnest(list_transform(generate_series(1, length(name) - 1), lambda k: substr(name, k, 2))) AS g FROM (SELECT DISTINCT name FROM c)) GROUP BY 1, 2),
+d AS (SELECT asked, name, 2 * sum(least(g.n, h.n)) / (length(asked) + length(name) - 2) AS dice FROM g JOIN h USING (g) GROUP BY 1, 2),
+s AS (SELECT asked, name, id, coalesce(q.ref = c.ref, false) AS referred, NOT ({_DIFFERS}) AS fits, abs(length(asked) - length(name)) AS gap, round(dice * least(length(asked), length(name)) / greatest(length(asked), length(name)) * (0.7 + 0.3 * least(q.chapters, c.chapters) / greatest(q.chapters, c.chapters)) * CASE WHEN q.year = c.year THEN 1.15 WHEN abs(q.year - c.year) <= 2 THEN 1.0 ELSE 0.8 END, 6) AS score FROM d JOIN q USING (asked) JOIN c USING (name)),
+f AS (SELECT asked, id, bool_or(NOT ({_DIFFERS})) AS fits FROM (SELECT DISTINCT asked FROM q), c GROUP BY 1, 2), b AS (SELECT s.asked, s.id, score, gap, CASE WHEN referred AND f.fits THEN 'edition' WHEN referred THEN 'reference' WHEN f.fits THEN 'title' END AS how FROM s JOIN f ON f.asked = s.asked AND f.id = s.id WHERE score >= 0.4)
+SELECT asked, id, score, how FROM b WHERE how IS NOT NULL QUALIFY row_number() OVER (PARTITION BY asked ORDER BY how, score DESC, gap, id) = 1""")
+def q_referenced_match(t: Tables) -> DataFrame:
+    """Entities that refer to the one asked for before others: a third of the titles asked for has their own reference, a third any other, a third none."""
+    own = t.part.groupBy(F.col("p_name").alias("id")).agg(F.min("p_partkey").alias("ref"), F.min("p_size").cast("double").alias("chapters"), F.min(1990 + F.col("p_size") % 5).alias("year"))
+    key = F.max("p_partkey")
+    ref = F.when(key % 3 == 1, F.max("ref")).when(key % 3 == 2, key % 40 + 1)
+    asked = _titles(t).join(own.select(F.col("id").alias("p_name"), "ref"), "p_name").groupBy(F.lower(T.without_noise(F.col("title"))).alias("asked"))
+    asked = asked.agg(ref.alias("ref"), F.max("p_size").cast("double").alias("chapters"), F.max(1990 + F.col("p_size") % 9).alias("year"))
+    first = own.withColumn("name", F.concat(F.lower("id"), F.when(F.col("ref") % 3 == 0, " deluxe").otherwise("")))
+    second = own.where("ref % 2 = 0").withColumn("name", F.concat(F.lower("id"), F.lit(" omnibus")))
+    return matching.referenced_match(asked, first.unionByName(second), T.edition_mismatch)
+
+
 @query(f"WITH x AS (SELECT p_partkey, ' ' || lower({TITLE}) || ' ' AS t, lower(p_name) AS n FROM part) SELECT p_partkey, cast(CASE WHEN trim(t) = n THEN 1.0 WHEN contains(t, ' ' || n || ' ') THEN 0.9 WHEN contains(t, n) THEN 0.7 ELSE 0.0 END AS DOUBLE) AS confidence FROM x")
 def q_token_match(t: Tables) -> DataFrame:
     return _titles(t).select("p_partkey", T.match_confidence(F.lower("title"), F.lower("p_name")).alias("confidence"))
