@@ -93,8 +93,8 @@ def q_array_union(t: Tables) -> DataFrame:
 
 @query(f"SELECT event_type, count(*) FILTER (user_id % 3 = 0 OR ts + to_days(cast(value AS INTEGER)) > TIMESTAMP '{_NOW}') AS active, count(*) AS n FROM events GROUP BY 1")
 def q_expiry(t: Tables) -> DataFrame:
-    """Entries without an expiry, or with one after a fixed now."""
-    expiry = F.when(F.col("user_id") % 3 != 0, F.col("ts").cast("timestamp") + F.make_dt_interval(F.round("value").cast("int")))
+    """Entries without an expiry, or with one after a fixed now; it lies whole days ahead, half days go to the even one."""
+    expiry = F.when(F.col("user_id") % 3 != 0, F.col("ts").cast("timestamp") + F.make_dt_interval(F.bround("value").cast("int")))
     return t.events.withColumn("expiry", expiry).groupBy("event_type").agg(F.count_if(F.col("expiry").isNull() | (F.col("expiry") > F.lit(_NOW).cast("timestamp"))).alias("active"), F.count("*").alias("n"))
 
 
