@@ -249,11 +249,12 @@ def q_integrity(t: Tables) -> DataFrame:
     return both.agg(F.count_if(F.expr("l_discount < 0 or l_discount > 0.09")).alias("odd_discount"), F.count_if(F.col("o_orderkey").isNull()).alias("orphans"), F.count("*").alias("n"))
 
 
-@query("WITH m AS (SELECT max(ts) AS now FROM events) SELECT user_id, cast(floor(sum(value) / 60 + 0.5) AS BIGINT) AS minutes, count(*) FILTER (ts >= now - INTERVAL 7 DAY) AS week, count(*) FILTER (cast(ts AS DATE) = cast(now AS DATE)) AS today FROM events, m GROUP BY 1")
+@query("WITH m AS (SELECT max(ts) AS now FROM events) SELECT user_id, cast(floor(cast(sum(cast(value AS DECIMAL(18, 6))) AS DOUBLE) / 60 + 0.5) AS BIGINT) AS minutes, count(*) FILTER (ts >= now - INTERVAL 7 DAY) AS week, count(*) FILTER (cast(ts AS DATE) = cast(now AS DATE)) AS today FROM events, m GROUP BY 1")
 def q_period_sums(t: Tables) -> DataFrame:
+    """Seconds are summed as decimals: a sum of doubles depends on their order, which would settle the halves."""
     now = t.events.agg(F.max("ts").alias("now"))
     rows = t.events.crossJoin(F.broadcast(now))
-    return rows.groupBy("user_id").agg(half_up(F.sum("value") / 60).alias("minutes"), F.count_if(F.expr("ts >= now - interval 7 days")).alias("week"), F.count_if(F.expr("to_date(ts) = to_date(now)")).alias("today"))
+    return rows.groupBy("user_id").agg(half_up(F.sum(F.col("value").cast("decimal(18,6)")).cast("double") / 60).alias("minutes"), F.count_if(F.expr("ts >= now - interval 7 days")).alias("week"), F.count_if(F.expr("to_date(ts) = to_date(now)")).alias("today"))
 
 
 @query("SELECT event_type AS namespace, count(*) AS n, round(count(*) FILTER (value > 50) / nullif(count(*) FILTER (value > 20), 0), 6) AS rate FROM events GROUP BY 1")
