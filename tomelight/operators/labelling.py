@@ -6,13 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tomelight.functions.batches import mapped
+
 ENTITIES = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]))
 
 
-@F.pandas_udf(ENTITIES)
-def bio_entities(tags: pd.Series) -> pd.Series:
+_ENTITIES = pa.list_(pa.struct([("type", pa.string()), ("first", pa.int32()), ("last", pa.int32())]))
+
+
+@F.arrow_udf(ENTITIES)
+def bio_entities(tags: pa.Array) -> pa.Array:
     """Entities of BIO tags with their first and last token: I of another type begins a new one, I without an open one is ignored."""
 
     def decode(row) -> list[dict]:
@@ -29,7 +35,7 @@ def bio_entities(tags: pd.Series) -> pd.Series:
                 open_ = None
         return out
 
-    return tags.map(decode)
+    return mapped(decode, _ENTITIES, tags)
 
 
 def bio_tags(size: Column, entities: Column) -> Column:
@@ -43,32 +49,35 @@ def bio_tags(size: Column, entities: Column) -> Column:
 
 
 def viterbi(df: DataFrame, emissions: str, transitions: list[list[float]], out: str = "path") -> DataFrame:
-    """df with the best path of labels through emissions (array<array<double>>, tokens by labels); empty for no tokens."""
+    """df with the best path of labels through emissions (array<array<double>>, tokens by labels); empty for no tokens.
+
+    Scores are read where Arrow holds them; rows of about one length are decoded together."""
     step = np.array(transitions, float)
 
-    @F.pandas_udf("array<int>")
-    def best(rows: pd.Series) -> pd.Series:
-        def path(row) -> list[int]:
-            if row is None or not len(row):
-                return []
-            scores = np.array([list(x) for x in row], float)
-            total, back = scores[0], []
-            for x in scores[1:]:
-                both = total[:, None] + step
-                back.append(both.argmax(axis=0))
-                total = both.max(axis=0) + x
-            at = [int(total.argmax())]
-            for b in reversed(back):
-                at.append(int(b[at[-1]]))
-            return at[::-1]
-
-        return rows.map(path)
+    @F.arrow_udf("array<int>")
+    def best(rows: pa.Array) -> pa.Array:
+        return best_paths(rows, step)
 
     return df.withColumn(out, best(F.col(emissions)))
 
 
+def best_paths(rows: pa.ListArray, step: np.ndarray) -> pa.ListArray:
+    """The path of each row of emissions (see viterbi); no value becomes a Python object."""
+    none, tokens = np.zeros(len(step)), rows.flatten()  # null rows have no tokens
+    scores = tokens.flatten().to_numpy(zero_copy_only=False).reshape(len(tokens), len(step))
+    sizes = rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    paths = np.zeros(len(tokens), np.int32)
+    at = np.flatnonzero(sizes)
+    for some, x, size in _padded([scores[ends[k] - sizes[k] : ends[k]] for k in at]):
+        found = _paths(x, size, step, none, none)
+        for row, k in enumerate(at[some]):
+            paths[ends[k] - sizes[k] : ends[k]] = found[row, : sizes[k]]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(paths))
+
+
 #: Numbers that the padded scores of some rows may take together.
-PADDED = 1 << 22
+PADDED = 1 << 20
 
 
 def _padded(rows: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
@@ -96,28 +105,35 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
 
 
-def _decode(x: np.ndarray, size: np.ndarray, step: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Best paths, and how likely each of their labels is given all paths (forward and backward sums), of padded rows."""
+def _paths(x: np.ndarray, size: np.ndarray, step: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Best paths of padded rows; of equally good ones, that whose last differing label is the least."""
     n, length, kinds = x.shape
-    best, back = start + x[:, 0], np.zeros((n, length, kinds), np.int64)
-    ahead = np.empty_like(x)
-    ahead[:, 0] = best
+    best, back = start + x[:, 0], np.zeros((n, length, kinds), np.int32)
     for t in range(1, length):
-        live = (t < size)[:, None]
         both = best[:, :, None] + step
         back[:, t] = both.argmax(axis=1)
-        best = np.where(live, both.max(axis=1) + x[:, t], best)
-        ahead[:, t] = np.where(live, _log_sum(ahead[:, t - 1, :, None] + step, 1) + x[:, t], ahead[:, t - 1])
+        best = np.where((t < size)[:, None], both.max(axis=1) + x[:, t], best)
+    path = np.zeros((n, length), np.int32)
+    at = (best + end).argmax(axis=1)
+    for t in range(length - 1, -1, -1):
+        path[:, t] = at
+        at = np.where((t < size) & (t > 0), np.take_along_axis(back[:, t], at[:, None], 1)[:, 0], at)
+    return path
+
+
+def _decode(x: np.ndarray, size: np.ndarray, step: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Best paths, and how likely each of their labels is given all paths (forward and backward sums), of padded rows."""
+    length = x.shape[1]
+    ahead = np.empty_like(x)
+    ahead[:, 0] = start + x[:, 0]
+    for t in range(1, length):
+        ahead[:, t] = np.where((t < size)[:, None], _log_sum(ahead[:, t - 1, :, None] + step, 1) + x[:, t], ahead[:, t - 1])
     behind = np.empty_like(x)
     behind[:, -1] = end
     for t in range(length - 2, -1, -1):
         onward = _log_sum(step + (x[:, t + 1] + behind[:, t + 1])[:, None, :], 2)
         behind[:, t] = np.where((t + 1 < size)[:, None], onward, end)
-    path = np.zeros((n, length), np.int64)
-    at = (best + end).argmax(axis=1)
-    for t in range(length - 1, -1, -1):
-        path[:, t] = at
-        at = np.where((t < size) & (t > 0), np.take_along_axis(back[:, t], at[:, None], 1)[:, 0], at)
+    path = _paths(x, size, step, start, end)
     total = _log_sum(ahead[:, -1] + end, 1)  # past its end a row keeps its last sums
     sure = np.exp(np.take_along_axis(ahead + behind, path[:, :, None], 2)[:, :, 0] - total[:, None])
     return path, sure
