@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from tomelight.functions.batches import mapped
 from tomelight.functions.columns import half_up
 from tomelight.functions.titles import ascii_edges
 
@@ -16,6 +17,7 @@ ENGLISH = r"(?i)\b(the|a|an|and|of|to|in|is|for|on|with|by|that|this)\b"
 SHORTEST, IDEAL, RICHEST = 80, 800, 1.5
 LEVELS = {"excellent": 0.8, "good": 0.67, "fair": 0.4}
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("term", T.StringType()), T.StructField("label", T.StringType())]))
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("term", pa.string()), ("label", pa.string())]))
 
 
 def alpha(annotations: DataFrame) -> DataFrame:
@@ -102,8 +104,8 @@ def front_matter(fields: dict[str, Column], body: Column) -> Column:
     return F.concat(F.lit("---\n"), lines, F.lit("\n---\n\n"), body)
 
 
-@F.pandas_udf(SPANS)
-def placed_spans(text: pd.Series, entities: pd.Series) -> pd.Series:
+@F.arrow_udf(SPANS)
+def placed_spans(text: pa.Array, entities: pa.Array) -> pa.Array:
     """Spans by start: each entity (array of struct(text, label)) in turn at its first place that no earlier one touches.
 
     A place that touches a span is left for the first one at or after the span's end, as every place between touches it too;
@@ -129,7 +131,7 @@ def placed_spans(text: pd.Series, entities: pd.Series) -> pd.Series:
             since[term] = at if at >= 0 else len(x) + 1
         return [dict(zip(("start", "end", "term", "label"), s)) for s in spans]
 
-    return pd.Series([place(x, row) for x, row in zip(text, entities)], dtype=object)
+    return mapped(place, _SPANS, text, entities)
 
 
 def first_spans(text: Column, terms: Column) -> Column:
