@@ -11,21 +11,26 @@ EPS = 1e-9
 
 
 def _bags(df: DataFrame, text: str) -> DataFrame:
-    """text and bag of each different text of two signs or more: its bigrams, the second of a kind apart from the first, so that multisets are sets."""
-    return df.select(F.col(text).alias("text")).where(F.length("text") >= 2).distinct().select("text", C.bigram_bag(F.col("text")).alias("bag"))
+    """text and bag of each different text: its bigrams, the second of a kind apart from the first, so that multisets are sets."""
+    return df.select(F.col(text).alias("text")).distinct().select("text", C.bigram_bag(F.col("text")).alias("bag"))
+
+
+def _grams(bags: DataFrame, *columns) -> DataFrame:
+    """A row for each gram. The outer form keeps Spark from making the bags in a filter below distinct, of every row instead of every text."""
+    return bags.select(*columns, F.explode_outer("bag").alias("gram")).where("gram is not null")
 
 
 def _rarest(bags: DataFrame, frequency: DataFrame, least: float) -> DataFrame:
     """The grams of each text that a partner has to share one of: the rarest ones, all but as many as must be shared, less one."""
     must = F.ceil(F.col("size") * (least / (2 - least)) - EPS)
     rank = F.row_number().over(Window.partitionBy("text").orderBy("f", "gram"))
-    grams = bags.select("text", F.size("bag").alias("size"), F.explode("bag").alias("gram"))
+    grams = _grams(bags, "text", F.size("bag").alias("size"))
     return grams.join(frequency, "gram").withColumn("rank", rank).where(F.col("rank") <= F.col("size") - must + 1).select("text", "size", "gram")
 
 
 def _candidates(x: DataFrame, y: DataFrame, least: float) -> DataFrame:
-    grams = x.select(F.explode("bag").alias("gram")).unionAll(y.select(F.explode("bag").alias("gram")))
-    frequency = grams.groupBy("gram").agg(F.count("*").alias("f"))
+    frequency = _grams(x).unionAll(_grams(y))
+    frequency = frequency.groupBy("gram").agg(F.count("*").alias("f"))
     y = _rarest(y, frequency, least).select("gram", F.col("text").alias("other"), F.col("size").alias("others"))
     most = (2 - least) / least
     band = (F.col("others") <= F.col("size") * most + EPS) & (F.col("size") <= F.col("others") * most + EPS)

@@ -147,7 +147,7 @@ b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY asked, id ORDER B
 p AS (SELECT asked, id, main, popularity, round((dice * CASE WHEN adult THEN 0.5 ELSE 1 END - CASE WHEN len(string_split(asked, ' ')) >= 2 AND len(string_split(name, ' ')) >= 3 AND len(list_filter(string_split(asked, ' '), lambda w: list_contains(string_split(name, ' '), w))) <= 1 THEN 0.25 ELSE 0 END) * CASE WHEN novel THEN 0.8 ELSE 1 END, 6) AS score FROM b JOIN n ON n.title = b.id)
 SELECT asked, id, score FROM (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY score DESC, main DESC, popularity DESC, id) AS rn FROM p) WHERE rn = 1 AND score >= 0.3""")
 def q_best_match(t: Tables) -> DataFrame:
-    asked = _titles(t).select(F.lower(T.without_noise(F.col("title"))).alias("asked")).distinct()
+    asked = _titles(t).select("title").distinct().select(F.lower(T.without_noise(F.col("title"))).alias("asked")).distinct()
     names = t.part.groupBy(F.col("p_name").alias("id")).agg(F.concat_ws(" ", "p_name", F.min("p_type")).alias("synonym"), F.count("*").alias("popularity"))
     names = names.select("id", F.array(F.lower("id")).alias("titles"), F.array(F.lower("synonym")).alias("synonyms"), "popularity", F.startswith("id", F.lit("hot")).alias("adult"), F.endswith("id", F.lit("anvil")).alias("novel"))
     return matching.best_match(asked, names)
