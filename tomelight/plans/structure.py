@@ -49,7 +49,8 @@ d AS (SELECT asked, name, 2 * sum(least(g.n, h.n)) / (length(asked) + length(nam
 s AS (SELECT asked, id, abs(length(asked) - length(name)) AS gap, round(dice * least(length(asked), length(name)) / greatest(length(asked), length(name)) * (0.7 + 0.3 * least(q.chapters, c.chapters) / greatest(q.chapters, c.chapters)) * CASE WHEN q.year = c.year THEN 1.15 WHEN abs(q.year - c.year) <= 2 THEN 1.0 ELSE 0.8 END, 6) AS score FROM d JOIN q USING (asked) JOIN c USING (name))
 SELECT asked, id, score FROM s WHERE score >= 0.4 QUALIFY row_number() OVER (PARTITION BY asked ORDER BY score DESC, gap, id) = 1""")
 def q_multi_signal_match(t: Tables) -> DataFrame:
-    asked = _titles(t).groupBy(F.lower(T.without_noise(F.col("title"))).alias("asked")).agg(F.max("p_size").cast("double").alias("chapters"), F.max(1990 + F.col("p_size") % 9).alias("year"))
+    asked = _titles(t).groupBy("title").agg(F.max("p_size").alias("chapters"), F.max(1990 + F.col("p_size") % 9).alias("year"))  # titles repeat: each loses its noise once
+    asked = asked.groupBy(F.lower(T.without_noise(F.col("title"))).alias("asked")).agg(F.max("chapters").cast("double").alias("chapters"), F.max("year").alias("year"))
     names = t.part.groupBy(F.col("p_name").alias("id")).agg(F.min("p_size").cast("double").alias("chapters"), F.min(1990 + F.col("p_size") % 5).alias("year")).withColumn("name", F.lower("id"))
     return matching.multi_signal_match(asked, names)
 
@@ -68,10 +69,11 @@ SELECT asked, id, score, how FROM b WHERE how IS NOT NULL QUALIFY row_number() O
 def q_referenced_match(t: Tables) -> DataFrame:
     """Entities that refer to the one asked for before others: a third of the titles asked for has their own reference, a third any other, a third none."""
     own = t.part.groupBy(F.col("p_name").alias("id")).agg(F.min("p_partkey").alias("ref"), F.min("p_size").cast("double").alias("chapters"), F.min(1990 + F.col("p_size") % 5).alias("year"))
-    key = F.max("p_partkey")
+    key = F.max("key")
     ref = F.when(key % 3 == 1, F.max("ref")).when(key % 3 == 2, key % 40 + 1)
-    asked = _titles(t).join(own.select(F.col("id").alias("p_name"), "ref"), "p_name").groupBy(F.lower(T.without_noise(F.col("title"))).alias("asked"))
-    asked = asked.agg(ref.alias("ref"), F.max("p_size").cast("double").alias("chapters"), F.max(1990 + F.col("p_size") % 9).alias("year"))
+    asked = _titles(t).groupBy("p_name", "title").agg(F.max("p_partkey").alias("key"), F.max("p_size").alias("chapters"), F.max(1990 + F.col("p_size") % 9).alias("year"))  # titles repeat: each loses its noise once
+    asked = asked.join(own.select(F.col("id").alias("p_name"), "ref"), "p_name").groupBy(F.lower(T.without_noise(F.col("title"))).alias("asked"))
+    asked = asked.agg(ref.alias("ref"), F.max("chapters").cast("double").alias("chapters"), F.max("year").alias("year"))
     first = own.withColumn("name", F.concat(F.lower("id"), F.when(F.col("ref") % 3 == 0, " deluxe").otherwise("")))
     second = own.where("ref % 2 = 0").withColumn("name", F.concat(F.lower("id"), F.lit(" omnibus")))
     return matching.referenced_match(asked, first.unionByName(second), T.edition_mismatch)
