@@ -134,3 +134,12 @@ def test_alpha_by_type(spark):
     alone = agreement.alpha_by_type(spark.createDataFrame([(1, 0, "B-A"), (1, 1, None)], "unit int, annotator int, label string"), 0).collect()
     assert [tuple(r) for r in alone] == [("A", 1, 0.0, 0.0, 1.0, "excellent")]
     assert agreement.alpha_by_type(spark.createDataFrame([], "unit int, annotator int, label string"), 0).count() == 0
+
+
+def test_alpha_of_answers(spark):
+    deal = random.Random(7)
+    rows = [(u, a, deal.choice(["O", "O", "B-A", "I-A", "B-B", None])) for u in range(300) for a in range(3)]
+    by_row = sorted(tuple(r) for r in agreement.alpha_by_type(spark.createDataFrame(rows, "unit int, annotator int, label string"), 0).collect())
+    units = [([(label, 1, int(a == 0)) for v, a, label in rows if v == u],) for u in range(300)]
+    df = spark.createDataFrame(units, "answers array<struct<label:string,n:long,own:long>>")
+    assert sorted(tuple(r) for r in agreement.alpha_of_answers(df).collect()) == by_row

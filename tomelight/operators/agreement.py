@@ -23,17 +23,29 @@ def alpha_by_type(annotations: DataFrame, first) -> DataFrame:
     someone used that type: the pairs of O and O of the other units are the pairs of all units less those of these.
     """
     label = F.col("label")
+    own = F.coalesce(F.col("annotator") == first, F.lit(False)).cast("long")
+    counts = annotations.where(label.isNotNull()).groupBy("unit", "label").agg(F.count("*").alias("n"), F.sum(own).alias("own"))
+    return alpha_of_answers(counts.groupBy("unit").agg(F.collect_list(F.struct("label", "n", "own")).alias("answers")))
+
+
+def alpha_of_answers(units: DataFrame) -> DataFrame:
+    """As alpha_by_type, of a row for each unit: answers, an array of struct(label, n: how often it was given, own: how often by `first`).
+
+    Units with the same answers are counted first, so that all else grows with the different answers only."""
+    label = F.col("label")
     kind = F.when(label != "O", F.regexp_extract(label, "^[^-]*-([^-]+)", 1)).otherwise("")
-    counts = annotations.where(label.isNotNull()).groupBy("unit", "label", kind.alias("entity")).agg(F.count("*").alias("n"), F.count_if(F.col("annotator") == first).alias("own"))
+    given = F.sort_array(F.filter("answers", lambda x: x["label"].isNotNull() & (x["n"] > 0)))
+    patterns = units.groupBy("answers").agg(F.count("*").alias("times")).groupBy(given.alias("unit")).agg(F.sum("times").alias("times"))
+    counts = patterns.select("unit", "times", F.explode("unit").alias("a")).groupBy("unit", "times", F.col("a.label").alias("label")).agg(F.sum("a.n").alias("n"), F.sum("a.own").alias("own")).withColumn("entity", kind)
     unit = Window.partitionBy("unit")
     counts = counts.withColumns({"all": F.sum("n").over(unit), "row": F.row_number().over(unit.orderBy("label"))})
     pairs = lambda x: F.col(x) * (F.col(x) - 1) / 2
-    every = counts.where("row = 1").agg(F.coalesce(F.sum(pairs("all")), F.lit(0.0)).alias("every"))
+    every = counts.where("row = 1").agg(F.coalesce(F.sum(pairs("all") * F.col("times")), F.lit(0.0)).alias("every"))
     typed = counts.where("entity <> ''").withColumn("used", F.sum("n").over(Window.partitionBy("unit", "entity")))
     typed = typed.withColumns({"rest": F.col("all") - F.col("used"), "one": F.row_number().over(Window.partitionBy("unit", "entity").orderBy("label")) == 1})
-    once = lambda x: F.sum(F.when(F.col("one"), x).otherwise(0.0))
+    once = lambda x: F.sum(F.when(F.col("one"), x * F.col("times")).otherwise(0.0))
     cells = typed.groupBy("entity", "label").agg(
-        F.sum("own").alias("own"), F.sum(pairs("n")).alias("same"), F.sum(F.col("n") * (F.col("all") - F.col("n"))).cast("double").alias("cross"),
+        F.sum(F.col("own") * F.col("times")).alias("own"), F.sum(pairs("n") * F.col("times")).alias("same"), F.sum(F.col("n") * (F.col("all") - F.col("n")) * F.col("times")).cast("double").alias("cross"),
         once(pairs("rest") - pairs("all")).alias("rest_same"), once(F.col("rest") * F.col("used")).alias("rest_cross"),
     )
     margin = F.col("same") + F.col("cross")
