@@ -200,10 +200,14 @@ def q_first_match_per_key(t: Tables) -> DataFrame:
 
 @query("SELECT 'lost' AS side, o_orderkey AS k FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) UNION ALL SELECT 'new', l_orderkey FROM (SELECT DISTINCT l_orderkey FROM lineitem) WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')")
 def q_diff_both_sides(t: Tables) -> DataFrame:
-    a, b = t.orders.select(F.col("o_orderkey").alias("k")), t.lineitem.select(F.col("l_orderkey").alias("k")).distinct()
-    kept = t.orders.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("k"))
-    side = lambda x: F.lit(x).alias("side")
-    return a.join(b, "k", "left_anti").select(side("lost"), "k").unionByName(b.join(kept, "k", "left_anti").select(side("new"), "k"))
+    """One roll-up of the keys of both sides, so that a task holds no more than its sums; a null key equals no other."""
+    order = t.orders.select(F.col("o_orderkey").alias("k"), F.lit(1).alias("n"), (F.col("o_orderstatus") != "P").alias("kept"), F.lit(False).alias("line"))
+    line = t.lineitem.select(F.col("l_orderkey").alias("k"), F.lit(0).alias("n"), F.lit(False).alias("kept"), F.lit(True).alias("line"))
+    keys = order.unionByName(line).groupBy("k").agg(F.sum("n").cast("int").alias("n"), F.max("kept").alias("kept"), F.max("line").alias("line"))
+    lone = F.col("k").isNull()
+    lost = F.array_repeat(F.lit("lost"), F.when(lone | ~F.col("line"), F.col("n")).otherwise(0))
+    new = F.array_repeat(F.lit("new"), F.when(F.col("line") & (lone | ~F.coalesce("kept", F.lit(False))), 1).otherwise(0))
+    return keys.select(F.explode(F.concat(lost, new)).alias("side"), "k")
 
 
 @query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2")
