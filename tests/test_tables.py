@@ -106,3 +106,24 @@ def test_cells_in_sql(spark):
     spark.createDataFrame([(1, "<table><tr><td>a<td>b</table>")], "id long, html string").createOrReplaceTempView("some_pages")
     rows = spark.sql("SELECT id, place, value FROM some_pages, LATERAL table_cells(html) ORDER BY place").collect()
     assert [tuple(r) for r in rows] == [(1, 0, "a"), (1, 1, "b")]
+
+
+TAGS = ["<table>", "</table>", "<tr>", "</tr>", "<td>", "</td>", "<th>", "<thead>", "</thead>", "<TD COLSPAN=2>", "<td rowspan='2'>", "<tr class=header>", '<li class="gallerybox x">', "</li>", "<img src='//a/b.png?x=1&amp;y'>", "<img src=//a/b.png/>", "<br/>", "<td/>", "<p class=caption>", "</p>", "</ td>", "<td a='<'>", "<script>'<td>'</script>", "<title>x<td></title>", "<!-- <td> -->", "<td", "<", "a > b", "&lt;b", "Volume 7 "]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(TAGS), max_size=14))
+def test_pages_cut_at_plain_tags_read_as_by_the_parser(parts):
+    html, whole, cut = "<table><tr>" * (len(parts) % 2) + "".join(parts), T._Reader(), T._Reader()
+    whole.feed(html)
+    whole.close()
+    cut.read(html)
+    assert cut.tables == whole.tables and cut.items == whole.items
+
+
+def test_facts_are_told_in_one_deal_and_one_sort(spark):
+    pages = spark.createDataFrame([(1, "<table><tr><td>a</table>")], "id long, html string")
+    plan = T.table_facts(T.page_cells(pages, "id", "html"))._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("RepartitionByExpression") + plan.count("Exchange") == 1
+    done = T.table_facts(T.page_cells(pages, "id", "html"))._jdf.queryExecution().executedPlan().toString()
+    assert done.count("Sort [") == 1

@@ -18,7 +18,8 @@ def _text(*parts) -> Column:
 
 def _lines(t: Tables) -> DataFrame:
     """Lines of orders as chapters n of volumes v, with the number of chapters of their volume."""
-    rows = t.lineitem.groupBy(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("n")).agg(F.min("l_partkey").alias("p"))
+    rows = t.lineitem.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"))
+    rows = rows.repartition("page").groupBy("page", "n").agg(F.min("p").alias("p"))  # lines, volumes and pages are made where a page's rows are
     rows = rows.withColumn("v", F.floor((F.col("n") + 1) / 2).cast("long"))
     volume = Window.partitionBy("page", "v")
     return rows.withColumn("own", F.count("*").over(volume)).withColumn("first", F.row_number().over(volume.orderBy("n")) == 1)
