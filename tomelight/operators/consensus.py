@@ -53,8 +53,10 @@ def numeric_vote(claims: DataFrame, tolerance: float) -> DataFrame:
 
     def enter(clusters: Column, c: Column) -> Column:
         fits = F.array_position(F.transform(clusters, lambda k: near(k["first"], c["value"])), True)
-        grown = F.transform(clusters, lambda k, i: F.when(i + 1 == fits, cluster(k["first"], k["weight"] - c["minus"] * c["n"], k["size"] + c["n"], F.array_append(k["names"], c["provider"]))).otherwise(k))
-        return F.when(fits > 0, grown).otherwise(F.array_append(clusters, cluster(c["value"], -c["minus"] * c["n"], c["n"], F.array(c["provider"]))))
+        grown = lambda fit: F.transform(clusters, lambda k, i: F.when(i + 1 == fit, cluster(k["first"], k["weight"] - c["minus"] * c["n"], k["size"] + c["n"], F.array_append(k["names"], c["provider"]))).otherwise(k))
+        begun = F.array_append(clusters, cluster(c["value"], -c["minus"] * c["n"], c["n"], F.array(c["provider"])))
+        # the place is looked for once a claim: as an expression in grown it would be looked for again beside every cluster
+        return F.get(F.transform(F.array(fits), lambda fit: F.when(fit > 0, grown(fit)).otherwise(begun)), F.lit(0))
 
     kind = "array<struct<first:double,weight:double,size:bigint,names:array<string>>>"
     found = _claims(claims).select("entity", F.aggregate(heavy, F.array().cast(kind), enter).alias("k"))
