@@ -169,3 +169,15 @@ def test_spacy_query(spark):
         text = " ".join(tokens)
         want = placed(text, [(kind, term) for kind, term, _, _ in found_entities(tokens, tags)])
         assert found[k] == {"text": text, "ents": [{"start": s, "end": e, "label": x} for s, e, _, x in want]}
+
+
+def test_chats_split_a_page_once_not_for_each_entity(spark):
+    from pyspark.sql import functions as F
+    from tomelight.operators import training
+
+    texts = spark.range(1).select(F.col("id").cast("string").alias("id"), F.concat_ws(" ", F.lit("a"), F.col("id").cast("string"), F.lit("C")).alias("text"))
+    pages = texts.select("id", F.split("text", " ").alias("tokens"), F.expr("transform(split(text, ' '), w -> if(w = 'a', 'O', 'B-X'))").alias("tags"))
+    chats = training.records(pages, "sharegpt")
+    plan = chats._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(transform(split(" not in plan and "split(" in plan
+    assert chats.count() == 2

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tomelight.functions.columns import truncated
@@ -39,6 +41,11 @@ def _turn(who: str, value: Column) -> Column:
     return F.struct(F.lit(who).alias("from"), value.alias("value"))
 
 
+def _once(f: Callable[[Column, Column], Column], a: Column, b: Column) -> Column:
+    """f of two values that are made once a row, however often f uses them in a lambda."""
+    return F.get(F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda x: f(x["a"], x["b"])), F.lit(0))
+
+
 def _context(e: Column, words: int) -> Column:
     since = F.greatest(F.lit(0), e["first"] - words)
     return F.trim(F.array_join(F.slice("tokens", since + 1, F.greatest(F.lit(0), e["last"] + words + 1 - since)), " "))
@@ -85,8 +92,10 @@ def records(pages: DataFrame, form: str, kinds: list[str] | None = None, groups:
         return rows.select("id", F.lit(0).alias("place"), F.array_join(block, "\n").alias("line"))
     rows = rows.withColumn("found", bio_entities("tags"))
     own = F.filter("found", lambda e: e["type"].isin(*kinds)) if kinds is not None else F.col("found")
-    text = lambda e: F.trim(F.array_join(F.slice("tokens", e["first"] + 1, e["last"] - e["first"] + 1), " "))
-    rows = rows.withColumn("entities", F.transform(own, lambda e: F.struct(e["type"].alias("type"), text(e).alias("text"), e["first"].alias("first"), e["last"].alias("last"))))
+    text = lambda tokens, e: F.trim(F.array_join(F.slice(tokens, e["first"] + 1, e["last"] - e["first"] + 1), " "))
+    told = lambda tokens, es: F.transform(es, lambda e: F.struct(e["type"].alias("type"), text(tokens, e).alias("text"), e["first"].alias("first"), e["last"].alias("last")))
+    # chats use the words here only, so Spark would put their expression into the lambda and split the whole text again for each entity
+    rows = rows.withColumn("entities", _once(told, F.col("tokens"), own) if form == "sharegpt" else told(F.col("tokens"), own))
     whole = F.trim(F.array_join("tokens", " "))
     about = [F.col("source"), F.col("id").alias("pageId"), F.col("title")]
     meta = lambda *more: [F.struct(*about, *more).alias("metadata")] if metadata else []
