@@ -7,7 +7,7 @@ import numpy as np
 import zstandard
 
 import corpus_pipeline
-from tomelight.llm import quality_classifier
+from tomelight.llm import quality_classifier, store
 from tomelight.llm.decontaminate import decontaminate
 from tomelight.llm.html_extract import extract_text, main_text
 from tomelight.llm.quality_classifier import fit_quality, score_quality
@@ -166,3 +166,21 @@ def test_html_legal_pages_keep_their_article():
     assert text("<div class='layout has-sidebar'><article>One</article><div class='sidebar'>no</div></div>") == "One"
     assert text("<form id=f><main>One<div class='site-footer'>no</div></main></form>") == "One"
     assert text("<article>One<div class='comments'><article>no</article></div></article>") == "One"
+
+
+def test_sets_of_ids_stay_small_in_the_driver(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (2, "d"), (4, None)], "id long, text string")
+
+    def kept(ids, how):
+        return sorted((r.id is None, r.id or 0, r.text or "") for r in store.restrict(docs, spark.createDataFrame([(x,) for x in ids], "id long"), "id", how).collect())
+
+    one, two, none, four = (False, 1, "a"), [(False, 2, "b"), (False, 2, "d")], (True, 0, "c"), (False, 4, "")
+    assert kept([2, 2, 7], "left_semi") == two
+    assert kept([2, None, None], "left_semi") == [*two, none]
+    assert kept([2, 7], "left_anti") == [one, four, none]
+    assert kept([2, None], "left_anti") == [one, four]
+    many = spark.range(600_000)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan(store.restrict(docs, many, "id"))
+    small = plan(store.restrict(docs, many.limit(1000), "id", "left_anti"))
+    assert "HashedRelationBroadcastMode(List(input[0, bigint, " in small  # one number: a table of longs, half as large

@@ -22,7 +22,7 @@ PER_OWNER = 4_000_000
 BLOCK_BYTES = 8 << 20
 BLOCK_TEXTS = 100
 #: An n-gram is hot if more prefixes than this have it, and more than their number over HOT_KEYS.
-HOT, HOT_KEYS = 2000, 1_000_000
+HOT, HOT_KEYS = 2000, 250_000
 _FEW = U64(0x5D1C7A3B9E2F4861)
 
 
@@ -287,7 +287,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     own = "array(cast(pmod(xxhash64(id), subs) as int))"
 
     def linked(rows: DataFrame, ids: DataFrame, sub: str, turn: str) -> DataFrame:
-        sets = restrict(reps, ids, "id").mapInArrow(_packed(n), "id long, grams binary")
+        sets = restrict(docs, ids, "id").mapInArrow(_packed(n), "id long, grams binary")
         rows = rows.selectExpr("*", f"{sub} as sub").selectExpr("*", f"{turn} as turn")
         return rows.join(sets, "id").groupBy("block", "sub", "turn").applyInArrow(_join(num, den), "a long, b long")
 
