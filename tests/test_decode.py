@@ -2,11 +2,12 @@
 
 import itertools
 import math
+import re
 
 import numpy as np
 
 from tomelight.operators import labelling as L
-from tomelight.plans import curation  # noqa: F401  it registers its queries
+from tomelight.plans import curation, text  # noqa: F401  they register their queries
 from tomelight.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -38,3 +39,41 @@ def test_answers_stand_in_their_context(spark):
     assert rows and all(r.context[r.answer_start : r.answer_start + len(r.answer)] == r.answer for r in rows)
     kinds = {r.impossible for r in QUERIES["q_export_negatives"](spark, SF).collect()}
     assert True in kinds
+
+
+def plain_path(x, step, start, end):
+    """The best path, one label at a time; of equal scores the least label."""
+    kinds = range(len(step))
+    best, came = [start[j] + x[0][j] for j in kinds], []
+    for row in x[1:]:
+        came.append([max(kinds, key=lambda i: best[i] + step[i][j]) for j in kinds])  # noqa: B023
+        best = [best[came[-1][j]] + step[came[-1][j]][j] + row[j] for j in kinds]
+    path = [max(kinds, key=lambda j: best[j] + end[j])]
+    for back in reversed(came):
+        path.append(back[path[-1]])
+    return path[::-1]
+
+
+def test_viterbi_counts_start_end_and_missing_scores(spark):
+    rng = np.random.default_rng(9)
+    step, start, end = (rng.normal(size=s).round(2).tolist() for s in ((3, 3), 3, 3))
+    rows = [(k, rng.normal(0, 1, (int(rng.integers(1, 7)), 3)).round(2).tolist()) for k in range(60)]
+    rows += [(60, [[1.0, None, 0.5], [0.5], None, [0.1, 0.2, 0.3, 9.0]]), (61, []), (62, None)]
+    df = spark.createDataFrame(rows, "id long, x array<array<double>>").repartition(3)
+    got = {r.id: r.path for r in L.viterbi(df, "x", step, start=start, end=end).collect()}
+    bare = {r.id: r.path for r in L.viterbi(df, "x", step).collect()}
+    assert got != bare
+    for k, x in rows:
+        full = [[((r or [])[j : j + 1] or [0])[0] or 0 for j in range(3)] for r in x or []]
+        assert got[k] == (plain_path(full, step, start, end) if full else [])
+        assert bare[k] == (plain_path(full, step, [0] * 3, [0] * 3) if full else [])
+
+
+def test_viterbi_query_against_a_plain_one(spark):
+    got = {r.doc_id: (r.n, r.ones) for r in QUERIES["q_viterbi"](spark, SF).collect()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(docs)
+    for doc_id, text in docs:
+        x = [[len(w) / 10.0, 1.0 if re.search("[.,]$", w) else 0.0] for w in re.split(r"[ \t\n\x0b\f\r]+", text)] if text is not None else []
+        path = plain_path(x, [[0.5, 0.0], [0.2, -1.0]], [0.2, -0.5], [-0.3, 0.4]) if x else []
+        assert got[doc_id] == (len(path), sum(path))

@@ -48,29 +48,43 @@ def bio_tags(size: Column, entities: Column) -> Column:
     return F.when(size > 0, F.transform(F.sequence(F.lit(0), size - 1), tag)).otherwise(F.array().cast("array<string>"))
 
 
-def viterbi(df: DataFrame, emissions: str, transitions: list[list[float]], out: str = "path") -> DataFrame:
+def viterbi(df: DataFrame, emissions: str, transitions: list[list[float]], out: str = "path", start: list[float] | None = None, end: list[float] | None = None) -> DataFrame:
     """df with the best path of labels through emissions (array<array<double>>, tokens by labels); empty for no tokens.
 
+    Scores of starting and ending with a label count too (0 if not given), and a score that is missing is 0.
     Scores are read where Arrow holds them; rows of about one length are decoded together."""
-    step = np.array(transitions, float)
+    step, first, last = np.array(transitions, float), start and np.array(start, float), end and np.array(end, float)
 
     @F.arrow_udf("array<int>")
     def best(rows: pa.Array) -> pa.Array:
-        return best_paths(rows, step)
+        return best_paths(rows, step, first, last)
 
     return df.withColumn(out, best(F.col(emissions)))
 
 
-def best_paths(rows: pa.ListArray, step: np.ndarray) -> pa.ListArray:
+def _scores(tokens: pa.ListArray, kinds: int) -> np.ndarray:
+    """The scores of tokens (rows) by labels; those that are null, or that a token lacks, are 0."""
+    sizes, flat = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), tokens.flatten().fill_null(0.0).to_numpy(zero_copy_only=False)
+    if (sizes == kinds).all():
+        return flat.reshape(len(tokens), kinds)
+    row, out = np.repeat(np.arange(len(tokens)), sizes), np.zeros((len(tokens), kinds))
+    kind = np.arange(len(flat)) - (np.cumsum(sizes) - sizes)[row]
+    known = kind < kinds
+    out[row[known], kind[known]] = flat[known]
+    return out
+
+
+def best_paths(rows: pa.ListArray, step: np.ndarray, start: np.ndarray | None = None, end: np.ndarray | None = None) -> pa.ListArray:
     """The path of each row of emissions (see viterbi); no value becomes a Python object."""
-    none, tokens = np.zeros(len(step)), rows.flatten()  # null rows have no tokens
-    scores = tokens.flatten().to_numpy(zero_copy_only=False).reshape(len(tokens), len(step))
+    start, end = (np.zeros(len(step)) if x is None else x for x in (start, end))
+    tokens = rows.flatten()  # null rows have no tokens
+    scores = _scores(tokens, len(step))
     sizes = rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes)
     paths = np.zeros(len(tokens), np.int32)
     at = np.flatnonzero(sizes)
     for some, x, size in _padded([scores[ends[k] - sizes[k] : ends[k]] for k in at]):
-        found = _paths(x, size, step, none, none)
+        found = _paths(x, size, step, start, end)
         for row, k in enumerate(at[some]):
             paths[ends[k] - sizes[k] : ends[k]] = found[row, : sizes[k]]
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(paths))

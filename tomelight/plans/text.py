@@ -51,7 +51,7 @@ def q_bio_decode(t: Tables) -> DataFrame:
 @query(None)
 def q_viterbi(t: Tables) -> DataFrame:
     rows = F.transform(F.split("text", r"\s+"), lambda w: F.array(F.length(w) / 10.0, F.when(w.rlike("[.,]$"), 1.0).otherwise(0.0)))
-    found = L.viterbi(t.documents.select("doc_id", rows.alias("emissions")), "emissions", [[0.5, 0.0], [0.2, -1.0]])
+    found = L.viterbi(t.documents.select("doc_id", rows.alias("emissions")), "emissions", [[0.5, 0.0], [0.2, -1.0]], start=[0.2, -0.5], end=[-0.3, 0.4])
     return found.select("doc_id", F.size("path").alias("n"), F.aggregate("path", F.lit(0), lambda a, b: a + b).alias("ones"))
 
 
