@@ -5,6 +5,7 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from tomelight.operators import labelling as L
 from tomelight.plans import curation, text  # noqa: F401  they register their queries
@@ -77,3 +78,29 @@ def test_viterbi_query_against_a_plain_one(spark):
         x = [[len(w) / 10.0, 1.0 if re.search("[.,]$", w) else 0.0] for w in re.split(r"[ \t\n\x0b\f\r]+", text)] if text is not None else []
         path = plain_path(x, [[0.5, 0.0], [0.2, -1.0]], [0.2, -0.5], [-0.3, 0.4]) if x else []
         assert got[doc_id] == (len(path), sum(path))
+
+
+def test_bio_tags_are_decoded_together(monkeypatch):
+    def plain(row):
+        out, open_ = [], None
+        for k, tag in enumerate(row or []):
+            head, _, kind = (tag or "O").partition("-")
+            if head == "B" or (head == "I" and open_ is not None and open_["type"] != kind):
+                open_ = {"type": kind, "first": k, "last": k}
+                out.append(open_)
+            elif head == "I" and open_ is not None:
+                open_["last"] = k
+            elif head != "I":
+                open_ = None
+        return out
+
+    rng, asked = np.random.default_rng(1), []
+    for names in (["O", "B-A", "I-A", "B-B", "I-B", None, "", "B", "I", "X-A", "B-A-C"], ["I-A", "O"], ["B-A"], [None]):
+        rows = [None if k % 17 == 3 else [names[i] for i in rng.integers(0, len(names), int(rng.integers(0, 12)))] for k in range(1500)]
+        found = L.bio_entities.func(pa.array(rows, pa.list_(pa.string())).slice(5))
+        assert found.to_pylist() == [plain(r) for r in rows[5:]]
+    assert L.bio_entities.func(pa.array([], pa.list_(pa.string()))).to_pylist() == []
+    decoded = L._decoded
+    monkeypatch.setattr(L, "_decoded", lambda x: asked.append(len(x)) or decoded(x))
+    L.bio_entities.func(pa.array([["B-A"]] * 600, pa.list_(pa.string())))
+    assert asked == [256, 256, 88]  # some hundred rows at a time, not each tag by itself

@@ -9,33 +9,49 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tomelight.functions.batches import mapped
-
 ENTITIES = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]))
 
 
 _ENTITIES = pa.list_(pa.struct([("type", pa.string()), ("first", pa.int32()), ("last", pa.int32())]))
 
 
+#: Rows of tags that are decoded together.
+TOGETHER = 256
+
+
 @F.arrow_udf(ENTITIES)
 def bio_entities(tags: pa.Array) -> pa.Array:
-    """Entities of BIO tags with their first and last token: I of another type begins a new one, I without an open one is ignored."""
-
-    def decode(row) -> list[dict]:
-        out: list[dict] = []
-        open_ = None
-        for k, tag in enumerate([] if row is None else row):
-            head, _, kind = (tag or "O").partition("-")
-            if head == "B" or (head == "I" and open_ is not None and open_["type"] != kind):
-                open_ = {"type": kind, "first": k, "last": k}
-                out.append(open_)
-            elif head == "I" and open_ is not None:
-                open_["last"] = k
-            elif head != "I":
-                open_ = None
-        return out
-
-    return mapped(decode, _ENTITIES, tags)
+    """Entities of BIO tags with their first and last token: I of another type begins a new one, I without an open one is ignored.
+
+    Only different tags become Python's; the tokens of some rows are decoded together."""
+    return pa.concat_arrays([pa.array([], _ENTITIES), *(_decoded(tags.slice(k, TOGETHER)) for k in range(0, len(tags), TOGETHER))])
+
+
+def _decoded(tags: pa.ListArray) -> pa.ListArray:
+    sizes, coded = tags.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), tags.flatten().dictionary_encode()
+    until = np.cumsum(sizes)
+    parts = [(x or "O").partition("-") for x in [*coded.dictionary.to_pylist(), None]]
+    kinds = sorted({kind for _, _, kind in parts})
+    at = coded.indices.fill_null(len(parts) - 1).to_numpy(zero_copy_only=False)
+    begins, inside = (np.array([head == x for head, _, _ in parts])[at] for x in "BI")
+    kind = np.array([kinds.index(x) for _, _, x in parts], np.int32)[at]
+    named, before = begins | inside, np.zeros(len(at), bool)
+    before[1:] = named[:-1]
+    before[(until - sizes)[sizes > 0]] = False  # the first token of a row has none before
+    runs, seen = named & ~before, np.cumsum(begins, dtype=np.int32)
+    earlier = np.concatenate([[0], (seen - begins)[runs]])[np.cumsum(runs)]  # B before the run
+    opened = named & (seen > earlier)
+    other = np.ones(len(at), bool)
+    other[1:] = kind[1:] != kind[:-1]  # in an open run the token before has the type of the open entity
+    starts = opened & (begins | other)
+    ends = opened.copy()
+    ends[:-1] &= ~(opened[1:] & ~starts[1:])
+    first, last = np.flatnonzero(starts), np.flatnonzero(ends)
+    row = np.searchsorted(until, first, side="right")
+    since = (until - sizes)[row]
+    found = [pa.array(kinds, pa.string()).take(pa.array(kind[first])), pa.array(first - since, pa.int32()), pa.array(last - since, pa.int32())]
+    counts = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(sizes)))])
+    return pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.StructArray.from_arrays(found, ["type", "first", "last"]))
 
 
 def bio_tags(size: Column, entities: Column) -> Column:
